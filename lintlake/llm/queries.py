@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lintlake.session import table
 
@@ -14,6 +15,30 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(table(spark, sf_dir, "analysis_issues"))
 
 
-QUERIES = {"p5_found": p5_found}
+def _credential_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    issues = table(spark, sf_dir, "analysis_issues").select(
+        F.lit("analysis_issues").alias("src_table"), F.col("issue_id").alias("record_id"), F.col("code_snippet").alias("body")
+    )
+    cloud = table(spark, sf_dir, "cloud_findings").select(
+        F.lit("cloud_findings").alias("src_table"), F.col("finding_id").alias("record_id"), F.col("evidence").alias("body")
+    )
+    return issues.unionByName(cloud)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every credential in code snippets and evidence begins."""
+    from lintlake.llm.credentials import credentials
+
+    return credentials(_credential_texts(spark, sf_dir), ["src_table", "record_id"], "body").select("src_table", "record_id", "start_pos")
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every credential's place and the text without its credentials."""
+    from lintlake.llm.credentials import credentials
+
+    return credentials(_credential_texts(spark, sf_dir), ["src_table", "record_id"], "body", with_text=True)
+
+
+QUERIES = {"p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found}
 
 SQL: dict[str, str] = {}
