@@ -1,6 +1,10 @@
-"""All core queries and their SQL, gathered from the operator modules."""
+"""All core queries and their SQL, gathered from the modules of `plans`."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from lintlake.plans import telemetry
+
+MODULES = [telemetry]
+
+QUERIES: dict = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+SQL: dict = {name: q for m in MODULES for name, q in m.SQL.items()}
