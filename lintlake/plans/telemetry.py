@@ -23,6 +23,13 @@ def p2_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("rescued", F.to_json("rescued"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_table": p2_table}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings of three metrics that cannot be true or do not fit their source."""
+    from lintlake.operators.implausible import flags
+
+    return flags(table(spark, sf_dir, "aggregates")).select("agg_id", "metric")
+
+
+QUERIES = {"p2_found": p2_found, "p2_table": p2_table, "p6_found": p6_found}
 
 SQL: dict[str, str] = {}
