@@ -24,12 +24,14 @@ def _timed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles of durations per command and version, over all days."""
-    from lintlake.llm.percentiles import from_counts, value_counts
+    """Percentiles of durations per command and version, day by day and over all days by combining the days."""
+    from lintlake.llm.percentiles import combine, from_counts, value_counts
 
     keys = ["command", "version"]
-    out = from_counts(value_counts(_timed_events(spark, sf_dir), keys, "duration_ms"), keys)
-    return out.withColumn("estimate", F.round("estimate", 4))
+    daily = value_counts(_timed_events(spark, sf_dir), [*keys, "day"], "duration_ms")
+    total = combine([daily.drop("day")], keys).withColumn("day", F.lit(None).cast("date"))
+    levels = daily.withColumn("level", F.lit("day")).unionByName(total.withColumn("level", F.lit("all")))
+    return from_counts(levels, ["level", *keys, "day"]).withColumn("estimate", F.round("estimate", 4))
 
 
 def p3_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,28 +41,18 @@ def p3_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return value_counts(_timed_events(spark, sf_dir), ["command", "version", "day"], "duration_ms")
 
 
-def p3_combined_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Medians per command and version from the daily counts of two halves of the days, combined."""
-    from lintlake.llm.percentiles import combine, from_counts, value_counts
-
-    events, keys = _timed_events(spark, sf_dir), ["command", "version"]
-    daily = value_counts(events, [*keys, "day"], "duration_ms")
-    even = daily.where("day is not null and dayofmonth(day) % 2 = 0").drop("day")
-    odd = daily.where("day is null or dayofmonth(day) % 2 = 1").drop("day")
-    out = from_counts(combine([even, odd], keys), keys, (0.5,))
-    return out.withColumn("estimate", F.round("estimate", 4))
+_TIMED_SQL = r"""
+SELECT nullif(regexp_replace(lower(trim(command)), '[_\s]+', '-', 'g'), '') AS command,
+       nullif(regexp_extract(version, '(\d+(?:\.\d+)*)', 1), '') AS version, CAST(ts AS DATE) AS day, duration_ms
+FROM telemetry_events WHERE duration_ms IS NOT NULL"""
+_POINTS_SQL = "[0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999]::DOUBLE[]"
 
 
-def _percentile_sql(points: str) -> str:
+def _percentile_sql(level: str, day: str, group: str) -> str:
     return f"""
-WITH e AS (
-  SELECT nullif(regexp_replace(lower(trim(command)), '[_\s]+', '-', 'g'), '') AS command,
-         nullif(regexp_extract(version, '(\d+(?:\.\d+)*)', 1), '') AS version, duration_ms
-  FROM telemetry_events WHERE duration_ms IS NOT NULL)
-SELECT command, version, count(*) AS n_values, min(duration_ms) AS min_value, max(duration_ms) AS max_value,
-       unnest({points}) AS percentile, round(unnest(quantile_cont(duration_ms, {points})), 4) AS estimate,
-       CAST(0 AS DOUBLE) AS error_bound
-FROM e GROUP BY command, version"""
+SELECT '{level}' AS level, command, version, {day} AS day, count(*) AS n_values, min(duration_ms) AS min_value, max(duration_ms) AS max_value,
+       unnest({_POINTS_SQL}) AS percentile, round(unnest(quantile_cont(duration_ms, {_POINTS_SQL})), 4) AS estimate, CAST(0 AS DOUBLE) AS error_bound
+FROM e GROUP BY {group}"""
 
 
 def _credential_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,18 +82,12 @@ def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p3_percentiles": p3_percentiles,
     "p3_daily_counts": p3_daily_counts,
-    "p3_combined_days": p3_combined_days,
     "p4_found": p4_found,
     "p4_redacted": p4_redacted,
     "p5_found": p5_found,
 }
 
 SQL: dict[str, str] = {
-    "p3_percentiles": _percentile_sql("[0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999]::DOUBLE[]"),
-    "p3_combined_days": _percentile_sql("[0.5]::DOUBLE[]"),
-    "p3_daily_counts": """
-SELECT nullif(regexp_replace(lower(trim(command)), '[_\\s]+', '-', 'g'), '') AS command,
-       nullif(regexp_extract(version, '(\\d+(?:\\.\\d+)*)', 1), '') AS version,
-       CAST(ts AS DATE) AS day, duration_ms AS value, count(*) AS n
-FROM telemetry_events WHERE duration_ms IS NOT NULL GROUP BY 1, 2, 3, 4""",
+    "p3_percentiles": f"WITH e AS ({_TIMED_SQL}) {_percentile_sql('day', 'day', 'command, version, day')} UNION ALL {_percentile_sql('all', 'CAST(NULL AS DATE)', 'command, version')}",
+    "p3_daily_counts": f"SELECT command, version, day, duration_ms AS value, count(*) AS n FROM ({_TIMED_SQL}) GROUP BY 1, 2, 3, 4",
 }
