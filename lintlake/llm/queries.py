@@ -79,12 +79,28 @@ def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials(_credential_texts(spark, sf_dir), ["src_table", "record_id"], "body", with_text=True)
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that no team member wrote by hand."""
+    from lintlake.llm.handwritten import not_handwritten
+
+    return not_handwritten(table(spark, sf_dir, "source_files")).select("file_id")
+
+
+def p7_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that no team member wrote by hand, with the reasons."""
+    from lintlake.llm.handwritten import not_handwritten
+
+    return not_handwritten(table(spark, sf_dir, "source_files")).select("file_id", F.concat_ws(", ", F.array_sort("reasons")).alias("reasons"))
+
+
 QUERIES = {
     "p3_percentiles": p3_percentiles,
     "p3_daily_counts": p3_daily_counts,
     "p4_found": p4_found,
     "p4_redacted": p4_redacted,
     "p5_found": p5_found,
+    "p7_found": p7_found,
+    "p7_reasons": p7_reasons,
 }
 
 SQL: dict[str, str] = {
