@@ -93,6 +93,13 @@ def p7_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return not_handwritten(table(spark, sf_dir, "source_files")).select("file_id", F.concat_ws(", ", F.array_sort("reasons")).alias("reasons"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold no real text or text a template left unfinished."""
+    from lintlake.llm.residue import residue
+
+    return residue(table(spark, sf_dir, "documents")).select("doc_id")
+
+
 QUERIES = {
     "p3_percentiles": p3_percentiles,
     "p3_daily_counts": p3_daily_counts,
@@ -101,6 +108,7 @@ QUERIES = {
     "p5_found": p5_found,
     "p7_found": p7_found,
     "p7_reasons": p7_reasons,
+    "p10_found": p10_found,
 }
 
 SQL: dict[str, str] = {
