@@ -48,3 +48,10 @@ def spread(df: DataFrame, heavy_columns: tuple[str, ...] = ()) -> DataFrame:
     if df.rdd.getNumPartitions() >= 2 * cores:
         return df
     return df.repartition(4 * cores)
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The rows written once as a table in the shared folder and read again: cut lineage, columns pruned on reading."""
+    at = scratch_path(df.sparkSession, label)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
