@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.session import scratch_path, spread
+from lintlake.session import spread, stored
 
 DEPTH = 3
 COMPANY = 0.8
@@ -65,13 +65,16 @@ def has_slot(text: Column) -> Column:
     return text.rlike(r"(?=[\[{<$%#@_XnNu])(?:" + "|".join(SLOTS) + ")")
 
 
-def sentences(documents: DataFrame) -> DataFrame:
-    """(doc_id, sentence, leaf) of all sentences but headings; the leaf is the path through the prefix tree."""
-    parts = documents.select("doc_id", F.explode(F.split("plain", r"\n+|(?<=[.!?])\s+")).alias("sentence"))
-    parts = parts.withColumn("sentence", F.trim(F.regexp_replace("sentence", r"^[\s>*•\-]+", ""))).where(~F.col("sentence").rlike(r"^(?:#|$|\W+$)"))
-    masked = F.regexp_replace(F.lower("sentence"), r"\S*[\d_/@#$%{}\[\]<>]\S*", "*")
-    words = F.split(masked, r"\s+")
-    return parts.withColumn("leaf", F.xxhash64(F.size(words), F.array_join(F.slice(words, 1, DEPTH), " ")))
+def split_sentences(plain: Column) -> Column:
+    """The sentences of a running text, list marks and headings left out."""
+    parts = F.transform(F.split(plain, r"\n+|(?<=[.!?])\s+"), lambda x: F.trim(F.regexp_replace(x, r"^[\s>*•\-]+", "")))
+    return F.filter(parts, lambda x: ~x.rlike(r"^(?:#|$|\W+$)"))
+
+
+def leaf(sentence: Column) -> Column:
+    """The path of a sentence through the prefix tree: its length and first words, variable words masked."""
+    words = F.split(F.regexp_replace(F.lower(sentence), r"\S*[\d_/@#$%{}\[\]<>]\S*", "*"), r"\s+")
+    return F.xxhash64(F.size(words), F.array_join(F.slice(words, 1, DEPTH), " "))
 
 
 def templates(parts: DataFrame, classify: Column) -> DataFrame:
@@ -87,19 +90,18 @@ def residue(documents: DataFrame) -> DataFrame:
     classify = F.lit(False)
     for pattern in RESIDUE.values():
         classify = classify | low.rlike(pattern)
-    plain = spread(documents.select("doc_id", "text")).select("doc_id", running_text(F.col("text")).alias("plain")).where("plain is not null")
-    slots = plain.where(has_slot(F.col("plain"))).select("doc_id")
-    at = scratch_path(documents.sparkSession, "sentences")
-    sentences(plain).write.parquet(at)
-    parts = documents.sparkSession.read.parquet(at)
-    known = templates(parts, classify)
+    plain = spread(documents.select("doc_id", "text")).select("doc_id", running_text(F.col("text")).alias("plain"))
+    read = stored(plain.select("doc_id", has_slot(F.col("plain")).alias("slot"), split_sentences(F.col("plain")).alias("sentences")), "sentences")
+    parts = read.select("doc_id", F.explode("sentences").alias("sentence")).withColumn("leaf", leaf(F.col("sentence")))
+    known = stored(templates(parts, classify), "templates")
     neutral = F.col("sentence").rlike(f"(?i){NEUTRAL}")
-    judged = parts.alias("p").join(known.select("leaf", "residue"), "leaf").select("doc_id", "leaf", "residue", neutral.alias("neutral"))
+    judged = stored(parts.select("doc_id", "leaf", neutral.alias("neutral")).join(known.select("leaf", "residue"), "leaf"), "judged")
     docs = judged.groupBy("doc_id").agg(F.max("residue").alias("any_residue"))
-    in_company = judged.where("not residue and not neutral").select("doc_id", "leaf").distinct().join(docs, "doc_id").groupBy("leaf").agg(F.avg(F.col("any_residue").cast("double")).alias("company"), F.count(F.lit(1)).alias("n"))
+    in_company = judged.where("not residue and not neutral").select("doc_id", "leaf").distinct().join(docs, "doc_id").groupBy("leaf").agg(F.avg(F.col("any_residue").cast("double")).alias("company"))
     inherited = in_company.where(F.col("company") >= COMPANY).select("leaf", F.lit(True).alias("inherits"))
     final = judged.join(inherited, "leaf", "left").groupBy("doc_id").agg(
         F.max("residue").alias("any_residue"), F.max(~F.col("residue") & ~F.col("neutral") & F.col("inherits").isNull()).alias("ordinary")
     )
     empty = final.where("any_residue and not ordinary").select("doc_id", F.lit("no_text").alias("kind"))
-    return slots.select("doc_id", F.lit("slot").alias("kind")).unionByName(empty).groupBy("doc_id").agg(F.min("kind").alias("kind"))
+    slots = read.where("slot").select("doc_id", F.lit("slot").alias("kind"))
+    return slots.unionByName(empty).groupBy("doc_id").agg(F.min("kind").alias("kind"))
