@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintlake.session import materialise, spread
+from lintlake.session import materialise, spread, stored
 
 # The fields of telemetry events and issues and their JSON types.
 TARGET = {
@@ -162,7 +162,7 @@ def changes(lines: DataFrame, target: dict[str, str] = TARGET) -> DataFrame:
     order = file_order(lines.select("stream", "file_name", "exported_at"))
     table = ingest(lines.select("stream", "file_name", "body"), target).where("corrupt is null")
     table = table.join(order.select("stream", "file_name", "seq"), ["stream", "file_name"])
-    record = table.withColumn("record_key", F.coalesce(*KEYS)).drop("file_name", "corrupt")
+    record = stored(table.withColumn("record_key", F.coalesce(*KEYS)).drop("file_name", "corrupt"), "records")
     counts = (
         _fields(record, target)
         .groupBy("stream", "seq", "path", "kind")
