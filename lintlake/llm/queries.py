@@ -15,6 +15,20 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(table(spark, sf_dir, "analysis_issues"))
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose content a parser of their language rejects."""
+    from lintlake.llm.syntax import unparsable
+
+    return unparsable(table(spark, sf_dir, "source_files")).select("file_id")
+
+
+def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many files do not parse, per repository and language."""
+    from lintlake.llm.syntax import rates
+
+    return rates(table(spark, sf_dir, "source_files"))
+
+
 def _timed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lintlake.llm.percentiles import canonical_command, canonical_version
 
@@ -101,6 +115,8 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_rates": p1_rates,
     "p3_percentiles": p3_percentiles,
     "p3_daily_counts": p3_daily_counts,
     "p4_found": p4_found,
