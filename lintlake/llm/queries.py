@@ -107,6 +107,40 @@ def p7_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return not_handwritten(table(spark, sf_dir, "source_files")).select("file_id", F.concat_ws(", ", F.array_sort("reasons")).alias("reasons"))
 
 
+def _sized(spark: SparkSession, sf_dir: str, keys: list[str]) -> DataFrame:
+    from lintlake.llm.tokens import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), keys)
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's container of 2,048 tokens."""
+    from lintlake.llm.packing import containers
+
+    return containers(_sized(spark, sf_dir, ["doc_id"]))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many containers there are and how much of them is unused."""
+    from lintlake.llm.packing import containers, report
+
+    return report(containers(_sized(spark, sf_dir, ["doc_id"])))
+
+
+def p9_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mix and how often each is used."""
+    from lintlake.llm.mixing import mix
+
+    return mix(_sized(spark, sf_dir, ["doc_id", "source"]), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of tokens each source reaches beside its target."""
+    from lintlake.llm.mixing import mix, shares
+
+    return shares(*mix(_sized(spark, sf_dir, ["doc_id", "source"]), table(spark, sf_dir, "mix_targets")))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold no real text or text a template left unfinished."""
     from lintlake.llm.residue import residue
@@ -124,6 +158,10 @@ QUERIES = {
     "p5_found": p5_found,
     "p7_found": p7_found,
     "p7_reasons": p7_reasons,
+    "p8_containers": p8_containers,
+    "p8_report": p8_report,
+    "p9_selection": p9_selection,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
 }
 
