@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.session import scratch_path, spread
+from lintlake.session import spread, stored
 
 # Notices of tools that wrote a file, by language.
 GENERATED_NOTICES = [
@@ -228,10 +228,7 @@ def _similar(a: str, b: str):
 
 def not_handwritten(files: DataFrame) -> DataFrame:
     """(file_id, reasons) of files that no team member wrote by hand."""
-    spark = files.sparkSession
-    at = scratch_path(spark, "profiles")
-    profiles(files).write.parquet(at)
-    seen = spark.read.parquet(at)
+    seen = stored(profiles(files), "profiles")
     marked = seen.where(F.size("reasons") > 0).select("file_id", "reasons")
     vendored = F.array_contains("reasons", "vendored")
     classes = (
@@ -239,9 +236,7 @@ def not_handwritten(files: DataFrame) -> DataFrame:
         .groupBy("class_id")
         .agg(F.first("shingles").alias("shingles"), F.first("bands").alias("bands"), F.max(vendored).alias("known"), F.max(F.size("reasons") == 0).alias("open"))
     )
-    at = scratch_path(spark, "classes")
-    classes.write.parquet(at)
-    classes = spark.read.parquet(at)
+    classes = stored(classes, "classes")
     body = classes.select("class_id", "shingles")
     known = classes.where("known").select("class_id", F.explode("bands").alias("band"))
     open_ = classes.where("open and not known").select("class_id", F.explode("bands").alias("band"))
@@ -259,9 +254,7 @@ def not_handwritten(files: DataFrame) -> DataFrame:
 
     one = known.groupBy("band").agg(F.min("class_id").alias("known_id"), F.count(F.lit(1)).alias("n"))
     first = verified(open_.join(one, "band").select(F.col("class_id").alias("open_id"), "known_id"))
-    at = scratch_path(spark, "first")
-    first.write.parquet(at)
-    first = spark.read.parquet(at)
+    first = stored(first, "first")
     rest = open_.join(first, "class_id", "left_anti").join(one.where("n > 1"), "band", "left_semi").select(F.col("class_id").alias("open_id"), "band")
     second = verified(rest.join(known.select("band", F.col("class_id").alias("known_id")), "band").select("open_id", "known_id"))
     copies = first.unionByName(second).unionByName(classes.where("known and open").select("class_id")).distinct()

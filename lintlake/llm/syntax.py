@@ -32,8 +32,8 @@ EXTENSIONS = {
 }
 LANGUAGES = sorted(set(EXTENSIONS.values()))
 BRACKETS = {
-    "LP": ("r", 1), "RP": ("r", -1), "RPH": ("r", -1), "LB": ("s", 1), "RB": ("s", -1), "LC": ("c", 1), "RC": ("c", -1), "LCB": ("c", 1), "LCO": ("c", 1), "LCC": ("c", 1),
-    "RCB": ("c", -1), "RCO": ("c", -1), "RCC": ("c", -1), "RCT": ("c", -1), "RCD": ("c", -1), "RCI": ("c", -1),
+    "LP": ("r", 1), "RP": ("r", -1), "RPH": ("r", -1), "LB": ("s", 1), "RB": ("s", -1), "LC": ("c", 1), "RC": ("c", -1), "LCB": ("c", 1), "LCO": ("c", 1), "LCC": ("c", 1), "LCE": ("c", 1),
+    "RCB": ("c", -1), "RCO": ("c", -1), "RCC": ("c", -1), "RCT": ("c", -1), "RCD": ("c", -1), "RCI": ("c", -1), "RCE": ("c", -1),
 }
 
 

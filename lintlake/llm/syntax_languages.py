@@ -4,7 +4,7 @@ Classes: ID identifiers and constants, CK words that are keywords only in places
 name; AS assignments, BI binary operators, PM plus and minus, UN prefix operators, INC, AR arrows; brackets LP RP LB RB
 and braces by what they hold: LCB block, LCO object or literal, LCC class body. RPH closes the head of a control
 statement, RCT the block of a `try`, RCD that of a `do`. Colons: OC in an object, TC of a conditional, CC after a case,
-LC after a label, AC before a type. A class with `^` stands after a line break. NL is a line end that counts.
+LAB after a label, AC before a type. A class with `^` stands after a line break. NL is a line end that counts.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ vars = (var | let | const) binding (CM binding)* | const KID AS expr (CM binding
 binding = (name | LB pattern RB | LCO members? RCO) (AS expr)?
 stmt = SM | plain SM | block | if LP expr RPH stmt (else stmt)? | for CK? LP forhead RPH stmt | while LP expr RPH stmt | do LCB stmt* last? RCD while LP expr RPH
      | try LCB stmt* last? RCT (catch (LP param RPH)? block)? finally block | try LCB stmt* last? RCT catch (LP param RPH)? block
-     | switch LP expr RPH LCB cases* RCB | name LC stmt | fnx | classx | export (default)? (fnx | classx) | decorator stmt
+     | switch LP expr RPH LCB cases* RCB | name LAB stmt | fnx | classx | export (default)? (fnx | classx) | decorator stmt
 cases = (case expr | default) CC stmt* last?
 forhead = (vars | expr)? SM expr? SM expr? | (var | let | const)? (name | LB pattern RB | LCO members? RCO) (CK | in) expr
 decorator = AT name (DOT name)* LP args? RP
@@ -92,7 +92,7 @@ anargs = anvalue (CM anvalue)*
 anvalue = (name AS)? (expr | LCO anitems? RCO | annotation)
 anitems = (expr | annotation) (CM (expr | annotation))* CM?
 mods = (MOD | CK | annotation)*
-typedecl = mods (class | interface | enum | CK | AT interface) name typeparams? (LP params? RP)? (extends types)? (implements types)? (CK types)? LCC member* RCC | SM
+typedecl = mods (class | interface | CK | AT interface) name typeparams? (LP params? RP)? (extends types)? (implements types)? (CK types)? LCC member* RCC | SM | mods enum name (implements types)? LCE enumbody? (SM member*)? RCE
 typeparams = LT tparam (CM tparam)* GT
 tparam = annotation* name (extends type (BI type)*)?
 types = type (CM type)*
@@ -102,8 +102,8 @@ targ = type | QM ((extends | SUPER) type)?
 params = param (CM param)*
 param = (MOD | annotation | CK)* type EL? name (LB RB)*
 member = SM | typedecl | mods typeparams? type name LP params? RP (LB RB)* (throws types)? (block | SM | default expr SM) | mods typeparams? name LP params? RP (throws types)? block
-       | mods name block | mods type vars SM | MOD? block | enumbody
-enumbody = annotation* name (LP args? RP)? (LCC member* RCC)? (CM annotation* name (LP args? RP)? (LCC member* RCC)?)* CM? SM?
+       | mods name block | mods type vars SM | MOD? block
+enumbody = annotation* name (LP args? RP)? (LCC member* RCC)? (CM annotation* name (LP args? RP)? (LCC member* RCC)?)* CM?
 vars = var (CM var)*
 var = name (LB RB)* (AS (expr | LCO items? RCO))?
 items = item (CM item)* CM?
@@ -112,7 +112,7 @@ block = LCB stmt* RCB
 stmt = SM | block | mods type vars SM | typedecl | expr SM | if LP expr RPH stmt (else stmt)? | for LP forhead RPH stmt | while LP expr RPH stmt | do stmt while LP expr RPH SM
      | do LCB stmt* RCD while LP expr RPH SM | try LP resources RPH LCB stmt* RCT (catch LP catchp RPH block)* (finally block)? | try LP resources RPH LCB stmt* RCT stmt
      | try LCB stmt* RCT (catch LP catchp RPH block | finally block) | catch LP catchp RPH block | finally block
-     | switch LP expr RPH LCB cases* RCB | return expr? SM | throw expr SM | break name? SM | continue name? SM | synchronized LP expr RPH block | name LC stmt | assert expr (TC expr)? SM | CK expr SM
+     | switch LP expr RPH LCB cases* RCB | return expr? SM | throw expr SM | break name? SM | continue name? SM | synchronized LP expr RPH block | name LAB stmt | assert expr (TC expr)? SM | CK expr SM
 cases = (case pats | default) (CC stmt* | AR (expr SM | block | throw expr SM))
 pats = pat (CM pat)* (CK expr)?
 pat = expr | type name | default | type LP params? RP
@@ -150,7 +150,7 @@ fieldx = (names gtype | STAR? name (DOT name)?) STR?
 method = name sig | UN? gtype (BI UN? gtype)*
 block = LCB (stmt SM)* stmt? RCB
 stmt = decl | exprs | exprs AS exprs | exprs INC | exprs ARROW expr | go expr | defer expr | return exprs? | break name? | continue name? | goto name | fallthrough | block | if_ | for forhead? block
-     | switch (simplestmt? SM)? (simplestmt)? LCB cases* RCB | select LCB cases* RCB | name LC stmt? | LC
+     | switch (simplestmt? SM)? (simplestmt)? LCB cases* RCB | select LCB cases* RCB | name LAB stmt? | LAB
 simplestmt = exprs | exprs AS exprs | exprs INC | exprs ARROW expr
 if_ = if (simplestmt SM)? simplestmt block (else (if_ | block))?
 forhead = simplestmt | simplestmt? SM expr? SM simplestmt? | exprs AS range expr | range expr
@@ -162,8 +162,7 @@ ltype = name (DOT name)? (LB types RB)? | LB (expr | EL)? RB gtype | map LB gtyp
 elements = element (CM element)* CM?
 element = (value OC)? value
 value = expr | LCO elements? RCO
-postfix = DOT (name | LP (gtype | type_) RP) | LP (callarg (CM callarg)* EL? CM?)? RP | LB expr? (TC expr?)* RB
-type_ = gtype
+postfix = DOT (name | LP (gtype | type) RP) | LP (callarg (CM callarg)* EL? CM?)? RP | LB expr? (TC expr?)* RB
 callarg = expr | gtype
 simple = (PM | UN | STAR | BI | ARROW)* operand postfix*
 expr = simple ((BI | PM | STAR | LT | GT) simple)*
@@ -213,7 +212,7 @@ item = KEY AS expr | KEY LBL* LCB (NL+ (item NL+)* | KEY AS expr)? RCB
 name = ID | CK
 operand = ID | NUM | STR | LP NL* expr NL* RP | LB NL* (expr NL* (CM NL* expr NL*)* CM? NL*)? RB | LCO NL* (entry ((CM | NL)+ entry)* (CM | NL)*)? RCO | LB forx RB | LCO forx RCO
 forx = NL* for ID (CM ID)? in expr OC NL* expr (AR NL* expr)? EL? NL* (if expr)? NL*
-entry = key (AS | OC) NL* expr
+entry = key (AS | OC) expr
 key = ID | STR | NUM | LP expr RP | ID (DOT ID)+
 postfix = DOT (ID | NUM | STAR) | LB NL* (expr | STAR) NL* RB | LP NL* (expr NL* (CM NL* expr NL*)* EL? CM? NL*)? RP
 simple = (PM | UN)* operand postfix*

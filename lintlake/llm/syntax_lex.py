@@ -30,8 +30,8 @@ _C = re.compile(
 )
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
 _ENDS = frozenset("ID CK FID CID KID NUM STR TPL RE RP RB RCO RCC INC SUPER HASHID".split())
-_STARTS = frozenset("BOF SM LCB RCB RCT RCD LC CC".split())
-_BLOCKS = frozenset("BOF SM LCB RCB RCT RCD RPH RP AR else try finally do CC LC RCC catch LCC".split())
+_STARTS = frozenset("BOF SM LCB RCB RCT RCD LAB CC".split())
+_BLOCKS = frozenset("BOF SM LCB RCB RCT RCD RPH RP AR else try finally do CC LAB RCC catch LCC".split())
 _ASSIGN = frozenset(">>>= **= <<= >>= &&= ||= ??= &^= += -= *= /= %= &= |= ^= :=".split()) | {"="}
 
 
@@ -208,7 +208,7 @@ def lex_c(text: str, language: str) -> list[tuple[str, int]]:
                 if value in ("case", "default"):
                     top.case = True
                 if value in ("class", "interface", "enum") and not go:
-                    top.cls = True
+                    top.cls = "E" if value == "enum" and java else "C"
                 if value in ("if", "for", "while", "switch", "catch", "with", "select", "synchronized") or value == "try" and java:
                     top.head = True
                 if value in ("var", "let", "const", "type"):
@@ -235,9 +235,9 @@ def lex_c(text: str, language: str) -> list[tuple[str, int]]:
                 continue
             if value in places:
                 if ts and value in ("interface", "enum") and (after.isalpha() or after in "_$"):
-                    top.cls = True
+                    top.cls = "C"
                 if java and value == "record" and after.isalpha():
-                    top.cls = True
+                    top.cls = "C"
                 if prev == "const" and top.kind != "P" and js:
                     emit("KID")
                 elif js and prev == "class" and value != "implements" or java and False:
@@ -268,12 +268,12 @@ def lex_c(text: str, language: str) -> list[tuple[str, int]]:
         op = value
         if op == "{":
             if top.cls:
-                kind_, cls = "C", "LCC"
+                kind_, cls = ("E", "LCE") if top.cls == "E" else ("C", "LCC")
                 top.cls = False
             elif go:
                 if prev in ("struct", "interface"):
                     kind_, cls = "C", "LCC"
-                elif top.head or top.fn or prev in ("SM", "BOF", "LCB", "else", "CC", "LC"):
+                elif top.head or top.fn or prev in ("SM", "BOF", "LCB", "else", "CC", "LAB"):
                     kind_, cls = "B", "LCB"
                     top.head = top.fn = False
                 else:
@@ -293,7 +293,7 @@ def lex_c(text: str, language: str) -> list[tuple[str, int]]:
                 kind_, cls = "B", "LCB"
             else:
                 kind_, cls = "O", "LCO"
-            close = {"B": "RCB", "O": "RCO", "C": "RCC"}[kind_]
+            close = {"B": "RCB", "O": "RCO", "C": "RCC", "E": "RCE"}[kind_]
             if js and cls == "LCO" and top.word == "import" and top.kind == "T" and not top.decl:
                 close = "RCI"
             if cls == "LCB" and prev == "do":
@@ -315,13 +315,13 @@ def lex_c(text: str, language: str) -> list[tuple[str, int]]:
             emit("LP" if op == "(" else "LB")
             stack.append(place)
         elif op in "})]" and len(op) == 1:
-            want = {"}": "BOC", ")": "P", "]": "L"}[op]
+            want = {"}": "BOCE", ")": "P", "]": "L"}[op]
             if len(stack) > 1 and top.kind in want:
                 stack.pop()
                 last_new = top.new
                 cls = top.close
                 emit(cls)
-                if cls in ("RCB", "RCC", "RCT", "RCD") and stack[-1].kind in "TBC" and not go:
+                if cls in ("RCB", "RCC", "RCE", "RCT", "RCD") and stack[-1].kind in "TBCE" and not go:
                     keep = stack[-1].word if cls == "RCT" else ""
                     if not (js and stack[-1].decl):
                         stack[-1].fresh()
@@ -360,13 +360,13 @@ def lex_c(text: str, language: str) -> list[tuple[str, int]]:
             elif top.kind == "O":
                 emit("OC")
             elif go:
-                emit("TC" if top.kind == "L" else "LC" if prev == "ID" and first else "XC")
+                emit("TC" if top.kind == "L" else "LAB" if prev == "ID" and first else "XC")
             elif java:
-                emit("TC" if top.kind == "P" or top.word == "assert" else "LC" if prev in ("ID", "CK") and first else "TC" if out[-1][0] in _ENDS and any(t == "assert" for t, _ in out[-40:]) else "XC")
+                emit("TC" if top.kind == "P" or top.word == "assert" else "LAB" if prev in ("ID", "CK") and first else "TC" if out[-1][0] in _ENDS and any(t == "assert" for t, _ in out[-40:]) else "XC")
             elif ts and (top.kind in "PLC" or top.decl or prev == "RP"):
                 emit("AC")
             elif prev in ("ID", "CK") and first:
-                emit("LC")
+                emit("LAB")
             else:
                 emit("XC")
         elif op == "=>" or op == "->" and not go:

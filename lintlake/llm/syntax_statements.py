@@ -57,17 +57,17 @@ SQL_VERBS = frozenset(
     "DESC PRAGMA REINDEX REFRESH LOCK UNLOCK PREPARE DEALLOCATE FETCH CLOSE OPEN REPLACE RENAME ATTACH DETACH LOAD INSTALL CHECKPOINT DISCARD LISTEN NOTIFY RESET CLUSTER TABLE PIVOT UNPIVOT GO DELIMITER".split()
 )
 _NAME = r"i(?: \. i)*"
-_TAIL = r"(?:.* )?(?:i|n|s|\(\)|END|DEFAULT|ALL|\*|KEY|COLUMN|TABLE|UNIQUE|INDEX|TO|MATCHED)"
+_TAIL = r"(?:.* )?(?:i|n|s|\(q?\)|END|DEFAULT|ALL|\*|KEY|COLUMN|TABLE|UNIQUE|INDEX|TO|MATCHED)"
 SQL_SHAPES = {
     "SELECT": re.compile(rf"SELECT (?!(?:FROM|WHERE|,)(?: |$)){_TAIL}$"),
-    "WITH": re.compile(rf"WITH (?:RECURSIVE )?{_NAME}(?: \(\))? AS (?:(?:NOT )?MATERIALIZED )?\(\)(?: , {_NAME}(?: \(\))? AS (?:(?:NOT )?MATERIALIZED )?\(\))* (?:SELECT|INSERT|UPDATE|DELETE|MERGE|VALUES|\(\)){_TAIL}?$|WITH .* (?:SELECT|INSERT|UPDATE|DELETE|VALUES) {_TAIL}$"),
-    "VALUES": re.compile(r"VALUES \(\)(?: , \(\))*(?: (?:ORDER|LIMIT|UNION) .*)?$"),
-    "INSERT": re.compile(rf"INSERT (?:(?:OR i|OR REPLACE|i) )*(?:INTO |OVERWRITE )(?:TABLE )?{_NAME}(?: AS i)?(?: \(\))?(?: i i)*(?: \(\))? (?:VALUES \(\)(?: ,? ?\(\))*|(?:SELECT|WITH) {_TAIL}|DEFAULT VALUES|\(\)|SET .+)(?: (?:ON|RETURNING|AS|WHERE|UNION|EXCEPT) {_TAIL})?$"),
+    "WITH": re.compile(rf"WITH (?:RECURSIVE )?{_NAME}(?: \(q?\))? AS (?:(?:NOT )?MATERIALIZED )?\(q?\)(?: , {_NAME}(?: \(q?\))? AS (?:(?:NOT )?MATERIALIZED )?\(q?\))* (?:SELECT|INSERT|UPDATE|DELETE|MERGE|VALUES|\(q?\)){_TAIL}?$|WITH .* (?:SELECT|INSERT|UPDATE|DELETE|VALUES) {_TAIL}$"),
+    "VALUES": re.compile(r"VALUES \(q?\)(?: , \(q?\))*(?: (?:ORDER|LIMIT|UNION) .*)?$"),
+    "INSERT": re.compile(rf"INSERT (?:(?:OR i|OR REPLACE|i) )*(?:INTO |OVERWRITE )(?:TABLE )?{_NAME}(?: AS i)?(?: \(\))?(?: i i)*(?: \(\))? (?:VALUES \(q?\)(?: ,? ?\(q?\))*|(?:SELECT|WITH) {_TAIL}|DEFAULT VALUES|\(q\)|SET .+)(?: (?:ON|RETURNING|AS|WHERE|UNION|EXCEPT) {_TAIL})?$"),
     "UPDATE": re.compile(rf"UPDATE (?:i )?{_NAME}(?: (?:AS )?i)? (?:.* )?SET .+ o {_TAIL}$"),
     "DELETE": re.compile(rf"DELETE (?:.* )?FROM {_NAME}(?: (?:AS )?i)?(?: (?:WHERE|USING|RETURNING|LIMIT|ORDER|AS) {_TAIL})?$"),
     "CREATE": re.compile(
-        rf"CREATE (?:(?:OR REPLACE|TEMP|TEMPORARY|GLOBAL|LOCAL|UNLOGGED|EXTERNAL|i) )*(?:TABLE (?:IF NOT EXISTS )?{_NAME} (?:\(\).*|AS {_TAIL}|LIKE .+|USING .+|i .+)"
-        rf"|(?:UNIQUE )?INDEX (?:i )?(?:IF NOT EXISTS )?(?:{_NAME} )?ON (?:i )?{_NAME}(?: USING i)? \(\).*|(?:MATERIALIZED )?(?:RECURSIVE )?VIEW (?:IF NOT EXISTS )?{_NAME}(?: \(\))?(?: WITH \(\))? AS {_TAIL}|i .+|OR .+)$"
+        rf"CREATE (?:(?:OR REPLACE|TEMP|TEMPORARY|GLOBAL|LOCAL|UNLOGGED|EXTERNAL|i) )*(?:TABLE (?:IF NOT EXISTS )?{_NAME} (?:\(q?\).*|AS {_TAIL}|LIKE .+|USING .+|i .+)"
+        rf"|(?:UNIQUE )?INDEX (?:i )?(?:IF NOT EXISTS )?(?:{_NAME} )?ON (?:i )?{_NAME}(?: USING i)? \(q?\).*|(?:MATERIALIZED )?(?:RECURSIVE )?VIEW (?:IF NOT EXISTS )?{_NAME}(?: \(q?\))?(?: WITH \(q?\))? AS {_TAIL}|i .+|OR .+)$"
     ),
     "ALTER": re.compile(r"ALTER \S+ \S+ .*"),
     "DROP": re.compile(r"DROP \S+ (?:IF EXISTS )?\S+.*"),
@@ -84,7 +84,7 @@ def sql_statements(text: str) -> tuple[list[tuple[str, int]], list[tuple[int, in
     """The tokens and a row per statement, its shape being its words outside parentheses."""
     tokens = lex_sql(text)
     out, depth, words, head = [], 0, [], None
-    for cls, _, word in tokens:
+    for k, (cls, _, word) in enumerate(tokens):
         if cls in ("BOF",):
             continue
         if cls in ("SM", "EOF") and depth == 0 or cls == "EOF":
@@ -97,7 +97,7 @@ def sql_statements(text: str) -> tuple[list[tuple[str, int]], list[tuple[int, in
         if cls == "LP":
             depth += 1
             if depth == 1:
-                words.append("()")
+                words.append("(q)" if tokens[k + 1][2] in ("SELECT", "WITH") else "()")
         elif cls == "RP":
             depth -= 1
         elif depth == 0:
