@@ -15,13 +15,13 @@ from lintlake.llm.syntax_grammar import Grammar
 
 _EXPRESSION = """
 name = ID | CK
-operand = name | NUM | STR | TPL | RE | LP args? RP | LB args? RB | LCO members? RCO | fnx | classx | arrow | new operand | SUPER
+operand = name | NUM | STR | TPL | RE | LP args? RP | LB args? RB | LCO members? RCO | fnx | classx | arrow | new operand | new DOT name | SUPER | import LP args? RP | import DOT name
 args = CM* arg (CM+ arg)* CM*
 arg = EL? expr
 postfix = DOT (name | KWN | HASHID) | LP args? RP | LB expr RB | TPL | DOT LP args? RP | DOT LB expr RB | INC | BANG
 unary = (PM | UN | INC | typeof | void | delete | CK)+
 simple = unary? operand postfix*
-binary = BI | PM | LT | GT | instanceof | in | AS | CK
+binary = BI | PM | LT | GT | GT GT | GT GT GT | instanceof | in | AS | CK
 expr = simple (binary simple)* (QM expr TC expr)? | expr CM expr | yield STAR? expr? | HASHID in expr
 arrow = CK? (name | LP params? RP) AR (expr | block)
 params = param (CM param)* CM?
@@ -42,9 +42,9 @@ bare = (CK | STAR)* (key | HASHID) (AS expr)?
 _STATEMENT = """
 program = BOF stmt* last? EOF
 plain = expr | return expr? | throw expr | break name? | continue name? | vars | debugger
-      | import STR | import (clause from) STR (CK LCO members? RCO)? | export star | export LCO members? RCO (from STR)? | export default expr | export vars | do stmt while LP expr RPH
+      | import STR | import (clause from) STR (CK LCO members? RCO)? | export CK? star | export import name AS expr | export LCO members? RCO (from STR)? | export default expr | export vars | do stmt while LP expr RPH
 clause = name (CM (LCO members? RCI | STAR CK name))? | LCO members? RCI | STAR CK name | CK clause
-star = STAR (CK name)? from STR
+star = STAR (CK (name | default))? from STR
 vars = (var | let | const) binding (CM binding)* | const KID AS expr (CM binding)*
 binding = (name | LB pattern RB | LCO members? RCO) (AS expr)?
 stmt = SM | plain SM | block | if LP expr RPH stmt (else stmt)? | for CK? LP forhead RPH stmt | while LP expr RPH stmt | do LCB stmt* last? RCD while LP expr RPH
@@ -58,22 +58,24 @@ JAVASCRIPT = _EXPRESSION + _STATEMENT
 TYPESCRIPT = (
     JAVASCRIPT
     + """
-type = BI? (CK | typeof | new | UN | PM)* atom (LB type? RB)* ((BI | DOT | extends | CK | is) type)* (QM type TC type)?
+type = BI? (CK | MOD | typeof | new | UN | PM)* atom (LB type? RB)* ((BI | DOT | extends | CK | is) type)* (QM type TC type)?
 atom = name | STR | NUM | TPL | void | null | LCO members? RCO | LCC body RCC | LB types? RB | LP params? RP AR type | LP type RP | name LT types GT | LT types GT LP params? RP AR type | import LP STR RP | typeof simple
-types = EL? (name (QM? AC))? type (CM types)* CM?
+types = (const | in | CK)* EL? (name (QM? AC))? type QM? (AS type)? (CM types)* CM?
 param = (CK | MOD | decorator)* EL? (name | LB pattern RB | LCO members? RCO) QM? (AC type)? (AS expr)?
 arrow = CK? (LT types GT)? LP params? RP AC type AR (expr | block)
 binding = (name | KID | LB pattern RB | LCO members? RCO) BANG? AC type (AS expr)?
 fnx = CK* function STAR? (name | FID)? (LT types GT)? LP params? RP (AC type)? (block | SM)
 operand = LT type GT operand
-postfix = LT types GT | BANG | CK type
+postfix = LT types GT | BANG | CK type | CK const
 field = (CK | MOD | STAR | decorator | PM)* (key | HASHID) (QM | BANG)? (AC type)? (AS expr)? (SM | CM) | (CK | MOD | STAR | decorator)* (key | HASHID)? QM? (LT types GT)? LP params? RP (AC type)? (block | SM | CM)
       | (CK | MOD | PM)* LB name (AC type | in type | CK type) RB (QM | PM)* AC type (SM | CM) | new LP params? RP AC type SM
 body = enumber (CM enumber)* CM?
 bare = (CK | MOD | STAR)* (key | HASHID) (QM | BANG)? (AC type)? (AS expr)? | (CK | MOD)* LB name (AC | in) type RB (QM | PM)* AC type | (CK | MOD)* (key)? QM? (LT types GT)? LP params? RP (AC type)?
 enumber = (key) (AS expr)?
 members = CM* member (CM member)* CM*
-member = key QM? OC type | (CK | STAR)* key QM? (LT types GT)? LP params? RP (AC type)? block
+member = (MOD | CK | PM)* key QM? OC type | (CK | STAR)* key QM? (LT types GT)? LP params? RP (AC type)? block | (MOD | CK)* key QM? (LT types GT)? LP params? RP OC type | new? (LT types GT)? LP params? RP OC type
+      | (MOD | PM)* LB name (AC | in | CK) type (CK type)? RB (QM | PM)* OC type
+members = member ((SM | CM) member)* (SM | CM)?
 heritage = (LT types GT)? (extends simple (LT types GT)? (CM type)*)? (CK type (CM type)*)?
 classx = CK* class (name | CID)? heritage LCC body RCC
 stmt = (CK | const)* CK (name | CID) heritage LCC body RCC | CK CK (name | STR) (DOT name)* block | export? CK* (CK name (LT types GT)? AS type) SM | export (CK | const)+ (name | CID) heritage LCC body RCC
@@ -128,7 +130,7 @@ lambda = (name | LP lparams? RP) AR (expr | block)
 lparams = name (CM name)* | params
 postfix = DOT typeargs? (name | new creator | KWN) | LP args? RP | LB expr RB | INC | DCOL (name | new) | LB RB
 simple = (PM | UN | INC)* operand postfix*
-expr = simple ((BI | PM | LT | GT | AS) simple | instanceof MOD? type name? (LP params? RP)?)* (QM expr TC expr)?
+expr = simple ((BI | PM | LT | GT | GT GT | GT GT GT | AS) simple | instanceof MOD? type name? (LP params? RP)?)* (QM expr TC expr)?
 """
 GO = """
 program = BOF package PKG SM import_* top* EOF
@@ -165,7 +167,7 @@ value = expr | LCO elements? RCO
 postfix = DOT (name | LP (gtype | type) RP) | LP (callarg (CM callarg)* EL? CM?)? RP | LB expr? (TC expr?)* RB
 callarg = expr | gtype
 simple = (PM | UN | STAR | BI | ARROW)* operand postfix*
-expr = simple ((BI | PM | STAR | LT | GT) simple)*
+expr = simple ((BI | PM | STAR | LT | GT | GT GT) simple)*
 """
 PYTHON = """
 program = BOF stmt* EOF
@@ -250,7 +252,8 @@ def pairs(language: str) -> frozenset[tuple[str, str]]:
     out = set(g.pairs)
     if language in CONTINUES:
         out |= {(a, f"^{b}") for a, b in g.pairs}
-        ends = g.last("plain") | g.last("stmt") | g.last("field") | g.last("bare") | {"RCB", "RCC", "LCC", "BOF"}
-        starts = g.first("stmt") | g.first("plain") | g.first("field") | {"RCB", "RCC", "EOF", "case", "default"}
+        ends = g.last("members") | g.last("plain") | g.last("stmt") | g.last("field") | g.last("bare") | {"RCB", "RCC", "LCC", "BOF"}
+        member_starts = g.first("members") if "members" in g.rules else frozenset()
+        starts = member_starts | {"else", "while"} | g.first("stmt") | g.first("plain") | g.first("field") | {"RCB", "RCC", "EOF", "case", "default"}
         out |= {(a, f"^{b}") for a in ends for b in starts}
     return frozenset(out)

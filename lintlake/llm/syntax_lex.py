@@ -13,7 +13,7 @@ CONFLICT = re.compile(r"(?:<{7}|>{7}|\|{7})(?=[ \t\r\n]|\Z)|={7}(?=[ \t]*(?:\r?\
 _JS_WORDS = set(
     "if else for while do switch case default try catch finally return throw break continue var let const function class import export new delete typeof void in instanceof extends debugger yield with enum".split()
 )
-_JS_PLACES = set("async await of get set static as".split())
+_JS_PLACES = set("async await of get set static as using".split())
 _TS_PLACES = _JS_PLACES | set("type interface enum namespace module declare abstract is keyof infer satisfies unique asserts implements accessor out global".split())
 _TS_MODS = set("public private protected readonly override".split())
 _JAVA_WORDS = set("if else for while do switch case default try catch finally return throw break continue class interface enum import package new instanceof extends implements throws assert synchronized".split())
@@ -21,11 +21,11 @@ _JAVA_MODS = set("public private protected static final abstract native transien
 _JAVA_PLACES = set("record var yield sealed permits when".split())
 _GO_WORDS = set("break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var".split())
 
-_WORD = r"[^\W\d][\w$]*|\$[\w$]*|\\u[0-9a-fA-F]{4}[\w$]*"
+_WORD = r"(?:[^\W\d]|[$\u0080-\u2027\u202a-\uffff\U00010000-\U0010ffff]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:[\w$]|[\u0080-\u2027\u202a-\uffff\U00010000-\U0010ffff]|\\u[0-9a-fA-F]{4})*"
 _NUMBER = r"0[xXbBoO][0-9a-fA-F_]+[nlLuU]*|(?:\d[\d_]*(?:\.(?!\.)[\d_]*)?|\.\d[\d_]*)(?:[eEpP][+-]?\d[\d_]*)?[nfFdDlLi]?"
 _STRING = r"\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*'"
 _C = re.compile(
-    rf"(?P<s>[ \t\r\f\v\u00a0\ufeff]+)|(?P<nl>\n)|(?P<lc>//[^\n]*)|(?P<bc>/\*[\s\S]*?\*/)|(?P<text>\"\"\"[\s\S]*?(?<!\\)\"\"\")|(?P<str>{_STRING})|(?P<num>{_NUMBER})|(?P<word>{_WORD})"
+    rf"(?P<s>[ \t\r\f\v\u00a0\ufeff\u2028\u2029\u3000]+)|(?P<nl>\n)|(?P<lc>//[^\n]*)|(?P<bc>/\*[\s\S]*?\*/)|(?P<text>\"\"\"[\s\S]*?(?<!\\)\"\"\")|(?P<str>{_STRING})|(?P<num>{_NUMBER})|(?P<word>{_WORD})"
     r"|(?P<op>>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|&&=|\|\|=|\?\?=|&\^=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|:=|::|->|<-|<<|&\^|\*\*|[{}()\[\];,.?:~!@#<>=+\-*/%&|^])"
 )
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
@@ -45,26 +45,44 @@ def _template(text: str, at: int) -> int:
         elif c == "`":
             return at + 1
         elif c == "$" and text.startswith("${", at):
-            at, depth = at + 2, 1
-            while at < n and depth:
-                c = text[at]
-                if c == "`":
-                    at = _template(text, at)
-                    if at < 0:
-                        return -1
-                    continue
-                if c in "\"'":
-                    m = re.compile(_STRING).match(text, at)
-                    if m:
-                        at = m.end()
-                        continue
-                depth += (c == "{") - (c == "}")
-                at += 1
+            at = _substitution(text, at + 2)
+            if at < 0:
+                return -1
         else:
             at += 1
     return -1
 
 
+def _substitution(text: str, at: int) -> int:
+    """The end of an expression in a template, past its brace, -1 if it has none."""
+    n, depth, operand = len(text), 1, False
+    while at < n:
+        c = text[at]
+        if c == "`":
+            at = _template(text, at)
+            if at < 0:
+                return -1
+            operand = True
+            continue
+        if c == "/" and not operand and (m := _REGEX.match(text, at)):
+            at, operand = m.end(), True
+            continue
+        m = _C.match(text, at)
+        if not m:
+            return -1
+        kind, value, at = m.lastgroup, m.group(), m.end()
+        if kind in ("s", "nl", "lc", "bc"):
+            continue
+        if value == "{":
+            depth += 1
+        elif value == "}":
+            depth -= 1
+            if not depth:
+                return at
+        operand = kind in ("str", "num", "word", "text") and value not in ("return", "typeof", "in", "of", "case") or value in (")", "]", "}")
+    return -1
+
+
 def out_method(out: list[tuple[str, int]]) -> bool:
     """Whether the parenthesis just closed is the receiver of a method."""
     depth = 0
@@ -189,7 +207,10 @@ def lex_c(text: str, language: str) -> list[tuple[str, int]]:
             if prev == "DOT":
                 emit("new" if value == "new" and java else "ID")
                 continue
-            if js and top.kind in "OC" and value in words and (prev in ("LCO", "CM", "LCC", "SM", "RCB", "CK", "MOD", "STAR") or broke) and after in (":", "(", ",", "}", "?", "=") and not (value in ("new",) and ts):
+            if js and value == "default" and top.kind == "O":
+                emit("ID")
+                continue
+            if js and top.kind in "OC" and (value in words or value == "super") and (prev in ("LCO", "CM", "LCC", "SM", "RCB", "CK", "MOD", "STAR") or broke) and after in (":", "(", ",", "}", "?", "=", "<") and not (value in ("new",) and ts):
                 emit("ID")
                 continue
             if value in words and not (ts and value == "enum"):
@@ -224,10 +245,10 @@ def lex_c(text: str, language: str) -> list[tuple[str, int]]:
             if java and value in _JAVA_MODS:
                 emit("MOD")
                 continue
-            if ts and value in _TS_MODS and (after.isalpha() or after in "_$[{#*\"'"):
+            if ts and value in _TS_MODS and (after.isalnum() or after in "_$[{#*\"'"):
                 emit("MOD")
                 continue
-            if js and value == "from" and top.word in ("import", "export") and prev in ("ID", "CK", "RCO", "RCI", "STAR"):
+            if js and value == "from" and top.word in ("import", "export") and prev in ("ID", "CK", "RCO", "RCI", "STAR", "default"):
                 emit("from")
                 continue
             if value == "super" or value == "SUPER_":
@@ -238,14 +259,14 @@ def lex_c(text: str, language: str) -> list[tuple[str, int]]:
                     top.cls = "C"
                 if java and value == "record" and after.isalpha():
                     top.cls = "C"
-                if prev == "const" and top.kind != "P" and js:
+                if prev == "const" and top.kind != "P" and js and value != "enum":
                     emit("KID")
                 elif js and prev == "class" and value != "implements" or java and False:
                     emit("CID")
                 else:
                     emit("CK")
                 continue
-            if js and prev == "const" and top.kind != "P":
+            if js and prev == "const" and top.kind != "P" and out[-2][0] not in ("LT", "CM"):
                 emit("KID")
             elif js and (prev in ("function",) or prev == "STAR" and out[-2][0].lstrip("^") == "function"):
                 emit("FID")
@@ -267,7 +288,7 @@ def lex_c(text: str, language: str) -> list[tuple[str, int]]:
             continue
         op = value
         if op == "{":
-            if top.cls:
+            if top.cls and prev not in ("LT", "CM", "BI", "AC", "OC", "LP", "extends", "EL", "AS", "LB"):
                 kind_, cls = ("E", "LCE") if top.cls == "E" else ("C", "LCC")
                 top.cls = False
             elif go:
@@ -285,6 +306,11 @@ def lex_c(text: str, language: str) -> list[tuple[str, int]]:
                     kind_, cls = "O", "LCO"
                 else:
                     kind_, cls = "B", "LCB"
+            elif prev == "CK" and word_now in ("as", "is", "satisfies", "keyof"):
+                kind_, cls = "O", "LCO"
+            elif ts and top.fn and prev in ("ID", "CK", "GT", "RB", "STR", "void", "null", "RCO", "NUM"):
+                kind_, cls = "B", "LCB"
+                top.fn = False
             elif prev in ("import", "export") or prev == "CK" and top.word in ("import", "export") and out[-2][0].lstrip("^") in ("import", "export") and not top.fn:
                 kind_, cls = "O", "LCO"
             elif prev in _BLOCKS or broke and top.kind in "TB" and prev in _ENDS:
@@ -293,6 +319,8 @@ def lex_c(text: str, language: str) -> list[tuple[str, int]]:
                 kind_, cls = "B", "LCB"
             else:
                 kind_, cls = "O", "LCO"
+            if js and cls == "LCB":
+                top.head = False
             close = {"B": "RCB", "O": "RCO", "C": "RCC", "E": "RCE"}[kind_]
             if js and cls == "LCO" and top.word == "import" and top.kind == "T" and not top.decl:
                 close = "RCI"
@@ -322,10 +350,10 @@ def lex_c(text: str, language: str) -> list[tuple[str, int]]:
                 cls = top.close
                 emit(cls)
                 if cls in ("RCB", "RCC", "RCE", "RCT", "RCD") and stack[-1].kind in "TBCE" and not go:
-                    keep = stack[-1].word if cls == "RCT" else ""
+                    keep, asked = stack[-1].word if cls == "RCT" else "", stack[-1].quest
                     if not (js and stack[-1].decl):
                         stack[-1].fresh()
-                    stack[-1].word = keep
+                    stack[-1].word, stack[-1].quest = keep, asked
             else:
                 emit({"}": "RCB", ")": "RP", "]": "RB"}[op] if len(stack) > 1 else "STRAY")
         elif op == ";":
@@ -336,7 +364,6 @@ def lex_c(text: str, language: str) -> list[tuple[str, int]]:
                 top.fresh()
         elif op == ",":
             emit("CM")
-            top.quest = 0
             if go or top.kind in "OPL":
                 top.fn = False
         elif op == ".":
@@ -347,7 +374,7 @@ def lex_c(text: str, language: str) -> list[tuple[str, int]]:
             emit("EL")
         elif op == "?":
             after = text[at : at + 20].lstrip()[:1]
-            if prev in _ENDS and not (ts and after in ":),;=") and not (java and prev in ("LT", "CM")):
+            if (prev in _ENDS or prev in ("GT", "void", "null") and ts) and not (ts and after in ":),;=") and not (java and prev in ("LT", "CM")):
                 top.quest += 1
             emit("QM")
         elif op == ":":
@@ -364,6 +391,8 @@ def lex_c(text: str, language: str) -> list[tuple[str, int]]:
             elif java:
                 emit("TC" if top.kind == "P" or top.word == "assert" else "LAB" if prev in ("ID", "CK") and first else "TC" if out[-1][0] in _ENDS and any(t == "assert" for t, _ in out[-40:]) else "XC")
             elif ts and (top.kind in "PLC" or top.decl or prev == "RP"):
+                if prev == "RP":
+                    top.fn = True
                 emit("AC")
             elif prev in ("ID", "CK") and first:
                 emit("LAB")
@@ -388,7 +417,7 @@ def lex_c(text: str, language: str) -> list[tuple[str, int]]:
         elif op in "+-" and len(op) == 1:
             emit("PM")
         elif op == "*":
-            emit("STAR" if go or prev not in _ENDS or java and prev == "DOT" else "BI")
+            emit("STAR" if go or prev not in _ENDS or js and top.kind == "C" and prev in ("CK", "MOD") or ts and prev == "CK" and word_now == "type" or java and prev == "DOT" else "BI")
         elif op == "<":
             emit("LT")
         elif op == ">":
@@ -855,7 +884,7 @@ def lex_shell(text: str) -> list[tuple[str, int]]:
             end = n if end < 0 else end + 2
             line += text.count("\n", at, end)
             at = end
-        elif stack and stack[-1] == "case" and (m := re.compile(r"\(?(?:[^\s()\n]|\\.)(?:[^()\n\"']|\"[^\"\n]*\"|'[^'\n]*')*\)").match(text, at)) and prev in ("in", "NL", "DSEMI", "SM") and not re.compile(r"esac\b").match(text, at):
+        elif stack and stack[-1] == "case" and (m := re.compile(r"\(?(?=[^\s()])(?:[^()\n\"'\\]|\\[\s\S]|\"[^\"\n]*\"|'[^'\n]*'|(?<=\|)\s*\n\s*)*\)").match(text, at)) and prev in ("in", "NL", "DSEMI", "SM") and not re.compile(r"esac\b").match(text, at):
             emit("PAT")
             prev = "PATP"
             stack.append("clause")
@@ -863,7 +892,7 @@ def lex_shell(text: str) -> list[tuple[str, int]]:
         elif (m := _SH_REDIR.match(text, at)) and not (c.isdigit() and prev not in command and False):
             here = re.match(r"\d*<<(-?)[ \t]*$", m.group())
             start = m.end()
-            end = _sh_word(text, start) if start < n and text[start] not in "\n;&|()<>" else start
+            end = _sh_word(text, start) if start < n and (text[start] not in "\n;&|()<>" or text[start : start + 2] in ("<(", ">(")) else start
             if end < 0 or end == start:
                 emit("OPEN" if end < 0 else "BAD")
                 at = n if end < 0 else start
@@ -898,7 +927,7 @@ def lex_shell(text: str) -> list[tuple[str, int]]:
             else:
                 emit({"&&": "AND", "||": "OR", "|": "PIPE", "|&": "PIPE", ";": "SM", "&": "AMP"}[v])
         else:
-            if prev in command and (m := re.compile(r"[^\s;&|()<>\"'$`\\]+[ \t]*\([ \t]*\)").match(text, at)):
+            if (prev in command or prev == "function") and (m := re.compile(r"[^\s;&|()<>\"'$`\\]+[ \t]*\([ \t]*\)").match(text, at)):
                 emit("FN")
                 at = m.end()
                 continue
@@ -914,7 +943,7 @@ def lex_shell(text: str) -> list[tuple[str, int]]:
             w = text[at:end]
             line += w.count("\n")
             at = end
-            start_ok = prev in command or prev in ("fi", "done", "esac", "RC", "RP", "TEST", "ARITH", "PATP")
+            start_ok = prev in command or prev == "WORD" and out[-2][0] == "function" or prev in ("fi", "done", "esac", "RC", "RP", "TEST", "ARITH", "PATP")
             if start_ok and w in _SH_WORDS and w != "in":
                 emit(w)
                 if w in ("if", "case"):
