@@ -97,8 +97,8 @@ SHELL = Family(
             ("SH_EVAL3", r"\beval\s+\$[A-Za-z_]", "HIGH", 0.85),
         )),
         ("destructive", "first", "SHELL_UNSAFE_COMMAND", (
-            ("SH_RM1", r"\brm\b(?:\s+\S+)*?\s-(?:[^\s]*r[^\s]*f|[^\s]*f[^\s]*r)[^\n]*\s+/(?:\s|$|;|&&|\|\|)", "CRITICAL", 0.98),
-            ("SH_RM2", r"\brm\b(?:\s+\S+)*?\s-(?:[^\s]*r[^\s]*f|[^\s]*f[^\s]*r)[^\n]*\s+/\*", "CRITICAL", 0.95),
+            ("SH_RM1", r"\brm\b(?:[^\n]*\s-\S*(?:r\S*f|f\S*r)|[^\n]*\s-\S*r[^\n]*\s-\S*f|[^\n]*\s-\S*f[^\n]*\s-\S*r)[^\n]*\s+/(?:\s|$|;|&&|\|\|)|\brm\b[^\n]*\s/(?:\s|;|&&|\|\|)(?:[^\n]*\s)?-\S*(?:r\S*f|f\S*r)", "CRITICAL", 0.98),
+            ("SH_RM2", r"\brm\b(?:[^\n]*\s-\S*(?:r\S*f|f\S*r)|[^\n]*\s-\S*r[^\n]*\s-\S*f|[^\n]*\s-\S*f[^\n]*\s-\S*r)[^\n]*\s+/\*", "CRITICAL", 0.95),
             ("SH_RM3", r"rm\s+-rf\s+\"\$\{?[^}]*:-/\}?\"", "HIGH", 0.90),
             ("SH_TRUNC", r":\s*>\s*/etc/passwd", "CRITICAL", 0.98),
             ("SH_MKFS", r"mkfs\s+/dev/sd[a-z]", "HIGH", 0.85),

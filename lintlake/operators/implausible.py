@@ -81,13 +81,15 @@ def _posterior(emission: np.ndarray) -> np.ndarray:
 
 def states(x: np.ndarray, metric: str) -> np.ndarray:
     """The state of every reading of one series: 0 normal or null, 1 spike, 2 stuck, 3 out of range."""
+    if not len(x):
+        return np.zeros(0, int)
     least, most, share, floor = METRICS[metric]
     missing = np.isnan(x) & ~np.isinf(x)
     impossible = ~missing & (np.isinf(x) | (x < least) | (x > most))
     usual = ~missing & ~impossible
     v = np.where(usual, x, np.nan)
     repeats = usual & (v != 0) & ((v == np.roll(v, 1)) | (v == np.roll(v, -1)))
-    rate = min(max(repeats.mean(), 0.01), 0.95) if len(x) else 0.01
+    rate = min(max(repeats.mean(), 0.01), 0.95)
     long_run = _runs(v) >= RUN
     spikes = np.zeros(len(x), bool)
     state = np.zeros(len(x), int)

@@ -42,7 +42,7 @@ def excluded(path: Column, patterns: list[str] = EXCLUDES) -> Column:
 
 
 def scan(spark: SparkSession, root: str, exclude: list[str] = (), glob: str | None = None) -> DataFrame:
-    """(path, content, language, loc) of all text files under a root; excluded ones are not read."""
+    """(path, content, language, loc) of all text files under a root; excluded ones are not read, empty ones have no row."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
