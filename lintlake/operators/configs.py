@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lintlake.session import spread
+
 KV = "path string, key string, key_path string, value_type string, value_str string, depth int, ordinal int"
 # Parts of keys that hold secrets, keys that hold addresses, flags that are dangerous with a value.
 SECRET_KEYS = "password passwd pwd secret api_key apikey api-key token access_token auth_token client_secret private_key credential auth bearer".split()
@@ -78,7 +80,7 @@ def key_values(files: DataFrame, kind: str) -> DataFrame:
                 rows += [r for r in own if r[1] or r[2]]
             yield pd.DataFrame(rows, columns=["path", "key", "key_path", "value_type", "value_str", "depth", "ordinal"])
 
-    return files.select("path", "content").mapInPandas(look, KV)
+    return spread(files.select("path", "content")).mapInPandas(look, KV)
 
 
 def _any(c: Column, words) -> Column:

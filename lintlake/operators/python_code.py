@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lintlake.session import spread
+
 NODES = "path string, node_id int, parent_id int, pre int, post int, depth int, node_type string, raw_type string, name string, line_start int, line_end int, complexity int, nesting int, param_count int"
 FACTS = "path string, fact string, name string, line int, detail string, enclosing int"
 # The general type of a syntax-tree node.
@@ -180,7 +182,7 @@ def _table(files: DataFrame, rows_of, schema: str) -> DataFrame:
                     frame[c] = frame[c].astype("Int64")
             yield frame
 
-    return files.select("path", "content").mapInPandas(look, schema)
+    return spread(files.select("path", "content")).mapInPandas(look, schema)
 
 
 def ast_nodes(files: DataFrame) -> DataFrame:

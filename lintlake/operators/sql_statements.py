@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lintlake.session import spread
+
 SCHEMA = "path string, stmt_no int, start_line int, start_col int, raw string, scan string"
 _PART = re.compile(r"'(?:[^']|'')*'?|\"(?:[^\"]|\"\")*\"?|`[^`]*`?|(?:(?<=\s)|^)--[^\n]*|#[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|;", re.M)
 
@@ -45,7 +47,7 @@ def statements(files: DataFrame) -> DataFrame:
             rows = [(p, i, *s) for p, t in zip(batch["path"], batch["content"]) if t for i, s in enumerate(split(t))]
             yield pd.DataFrame(rows, columns=["path", "stmt_no", "start_line", "start_col", "raw", "scan"])
 
-    return files.select("path", "content").mapInPandas(look, SCHEMA)
+    return spread(files.select("path", "content")).mapInPandas(look, SCHEMA)
 
 
 _NAME = r"(?:`[^`]+`|\"[^\"]+\"|\[[^\]]+\]|\w+)"
