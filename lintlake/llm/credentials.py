@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.llm.trigrams import holds, leaves, required
+from lintlake.session import spread
 
 # Words that name a secret, the last word of a name deciding; and words that qualify `key`.
 SECRET_WORDS = "password passwd passphrase passwort kennwort contrasena contraseña contrasenya senha clave secret token jeton credential credentials pwd pw pass apikey authtoken accesstoken webhooksecret authorization auth".split()
@@ -181,7 +182,7 @@ def candidates(texts: DataFrame, column: str) -> DataFrame:
 
 def credentials(texts: DataFrame, keys: list[str], column: str, with_text: bool = False) -> DataFrame:
     """A row per credential: the key columns, start_pos (from 1), end_pos (past its end), rule_name; the redacted text if asked for."""
-    picked = candidates(texts.select(*keys, F.col(column).alias("_text")), "_text")
+    picked = candidates(spread(texts.select(*keys, F.col(column).alias("_text"))), "_text")
     kinds = dict(picked.dtypes)
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", start_pos int, end_pos int, rule_name string" + (", redacted string" if with_text else "")
 
