@@ -128,7 +128,7 @@ def path_rules(path: str) -> set[str]:
 
 
 def measures(text: str, path: str) -> set[str]:
-    """`minified`, `data` and `accessors`, from the text itself."""
+    """`minified`, `data` and `accessors`, from the text itself; a bare object is a configuration, whatever its extension."""
     out = set()
     lines = [x for x in text.split("\n") if x.strip()]
     if not lines:
@@ -152,7 +152,7 @@ def measures(text: str, path: str) -> set[str]:
                 data += len(x)
             elif len(x) - len(held) > 0.8 * len(x) and len(x) > 200:
                 data += len(x)
-        if data > 0.7 * size and size > 300:
+        if data > 0.7 * size and size > 300 and not text.lstrip().startswith("{"):
             out.add("data")
     if path.lower().endswith(".sql"):
         rows = [x for x in lines if SQL_ROW.match(x)]
