@@ -36,6 +36,7 @@ RESIDUE = {
     "page_pt": r"(?:p.{1,3}gina (?:n.{1,3}o|nao) (?:encontrada|existe|foi)|endere.{1,3}o .*(?:n.{1,3}o|nao) (?:existe|foi)|(?:n.{1,3}o|nao) tem permiss|acesso negado|sess.{1,3}o expirou|tente novamente|voltar ao in|ocorreu um erro|algo deu errado|servi.{1,3}o indispon|muitas (?:solicita|requisi)|erro interno|em manuten|avise a equipe|contate a equipe|procure a equipe|p.{1,3}gina indispon)",
     "scripts_en": r"(?:(?:please |you need to |you must |turn on |switch on )(?:enable|allow|activate|turn on)? ?(?:javascript|scripts)|requires (?:javascript|scripts)|needs? (?:javascript|scripts) to|javascript (?:seems to be |is |appears to be |must be )?(?:disabled|switched off|turned off|required|needed|enabled|off)|does not support (?:javascript|scripts)|scripts? (?:must be allowed|support is switched off|are (?:blocked|disabled|switched off))|allow scripts|turn them on and reload|without javascript|enable javascript to|script support is)",
     "scripts_other": r"(?:activ(?:e|ez|ar|er|a|ieren sie)? (?:o |le |el )?javascript|activer (?:le )?javascript|ative o javascript|aktivieren sie (?:bitte )?javascript|habilit\w+ (?:el |o )?javascript|javascript (?:est |ist |est.{1,3} )?(?:d.{1,3}sactiv|deaktiviert|desactivad|desativad|requis|erforderlich|necesari|necess)|(?:requiert|n.{1,3}cessite|ben.{1,3}tigt|requiere|necesita|requer|precisa de) (?:de )?javascript|ohne javascript|sans javascript|sin javascript|sem javascript|permit\w+ (?:los |os )?scripts|autoris\w+ les scripts|skripte)",
+    "latin_filler": r"^(?:\W*\b(?:lorem|ipsum|dolor|sit|amet|consectetur|adipiscing|elit|sed|do|eiusmod|tempor|incididunt|ut|labore|et|dolore|magna|aliqua|enim|ad|minim|veniam|quis|nostrud|exercitation|ullamco|laboris|nisi|aliquip|ex|ea|commodo|consequat|duis|aute|irure|in|reprehenderit|voluptate|velit|esse|cillum|eu|fugiat|nulla|pariatur|excepteur|sint|occaecat|cupidatat|non|proident|sunt|culpa|qui|officia|deserunt|mollit|anim|id|est|laborum)\b){4,}\W*$",
     "filler": r"(?:\blorem\b|\bipsum\b|dolor sit amet|consectetur|^\W*(?:\w[\w ]*:)?\s*(?:tbd|todo|tba|fixme|n/a|wip)\W*$|insert (?:content|text)(?: here)?\W*$|(?:your|sample|dummy|placeholder|example|some|add (?:your|a)?) ?(?:text|copy|paragraph|content|description)(?: goes)?(?: here|,|\W*$)|add a description here|description of item|blindtext|texte? (?:.{1,3} remplacer|de remplissage|d.exemple)|texto de (?:relleno|ejemplo|exemplo|preenchimento)|faux.texte|platzhalter|replace before release|final wording to follow|coming soon\W*$|content (?:goes|coming) (?:here|soon)|to be (?:written|added|completed|defined|done)\W*$|(\b\w+(?:\W+\w+){0,3}?)(?:\W+\1\b){3,})",
 }
 NEUTRAL = r"^\W*(?:\(?code \d+\)?|ref(?:erence)?\W+[0-9a-f\-]+|request id\W+[0-9a-f\-]+|[\w.\-]+/\d[\d.]*|menu|home|help|contact|back|help \| contact)\W*$"
