@@ -140,7 +140,9 @@ def measures(text: str, path: str) -> set[str]:
         blanks = sum(x.count(" ") + x.count("\t") for x in lines)
         literal = _STRING.sub("", text)
         packed = blanks < 0.12 * size if long_part > 0.5 * size else blanks < 0.09 * size and size > 300
-        if packed and len(literal) > 0.4 * size:
+        marks = literal.count(",") + literal.count("=")
+        airy = literal.count(", ") + literal.count(" = ") + literal.count(" == ") + literal.count(",\n") > 0.2 * max(marks, 1)
+        if packed and not airy and len(literal) > 0.4 * size:
             out.add("minified")
         data = 0
         for x in lines:
