@@ -52,15 +52,17 @@ RULES: dict[str, str] = {
     "docker_auth": r"\"auth\"\s*:\s*\"(?P<b>[A-Za-z0-9+/]{8,}={0,2})\"",
     "cobol_move": rf"(?i)move\s+(?P<q>[\"'])(?P<c1>[^\"'\n]+)(?P=q)\s+to\s+(?P<name>[\w\-]*(?:{NAME_PARTS})[\w\-]*)",
     "secure_string": r"""(?i)convertto-securestring\s+(?:-string\s+)?["'](?P<c1>[^"'\n]+)["']""",
-    "command_password": r"""(?:sshpass\s+-p\s*|--password[= ]|--token[= ]|--secret[= ])["']?(?P<c2>[^\s"']+)""",
-    "command_user": r"""(?:curl\s[^\n]*?\s(?:-u|--user)[= ]|--user[= ])["']?[^\s:"']+:(?P<c>[^\s"']+)""",
+    "ssh_password": r"""sshpass\s+-p\s*["']?(?P<c1>[^\s"']+)""",
+    "command_password": r"""(?:--password[= ]|--token[= ]|--secret[= ])["']?(?P<c2>[^\s"']+)""",
+    "command_user": r"""(?:curl(?:\s[^\n]*?)?\s(?:-u|--user)[= ]|--user[= ])["']?[^\s:"']+:(?P<c>[^\s"']+)""",
     "signature": r"[?&](?:sig|signature|access_token|api_key|apikey|token|key)=(?P<c>[A-Za-z0-9%+/_\-]{16,})",
     "spring_env": rf"(?i)\benv\s+(?P<name>\w*(?:{NAME_PARTS})\w*)\s+(?P<c2>[^\s\"'=]+)",
     "default_call": rf"""(?i)(?:getenv|environ\.get|env)\(\s*["'](?P<name>\w*(?:{NAME_PARTS})\w*)["']\s*,\s*["'](?P<c1>[^"'\n]+)["']\s*\)""",
 }
 
 _PLACEHOLDER = re.compile(
-    r"""(?ix)^(?: \$ | \{\{ | \{%? | < | %[({A-Z] | \#\{ | ! | @@? | \*+ | \[ | \.\.\. | … | &lt; | \( | env[.(:] | vault[.:/] | arn: | ref[+:] | secret://
+    r"""(?ix)^(?: \$(?:[{(]|env:|[a-z_]\w*(?:$|[./:])) | \{\{ | \{%? | <[^<>]*>?$ | %[({] | %[a-z_]+%$ | \#\{ | !(?:ref|sub|join|getatt|importvalue|vault|secret|env|include|reference)\b | ![a-z]+\s | @(?:\{|microsoft|[a-z.]+\()
+     | \*{3,} | \*[a-z][a-z_\-]*$ | \[[a-z _\-]+\]$ | \.\.\. | … | &lt; | \([a-z _\-]+\)$ | env[.(:] | vault[.:/] | arn: | ref[+:] | secret://
      | (?:your|my|the|some|insert|enter|change|replace)[-_ ]? (?:own|me|this|it|here|pass|password|secret|token|api|key|value|with).* | x{3,}.* | -+$ | _+$ | \.+$
      | (?:none|null|nil|true|false|undefined|empty|redacted|masked|hidden|removed|changeme|change_?it|example|placeholder|dummy|todo|tbd|test|string|str|secret|password|passwd|token|optional|required|int|bool|bytes|any|self|config|settings)[?;]?$
     )"""
@@ -100,6 +102,8 @@ def literal_value(value: str, quoted: bool) -> bool:
         return not re.search(r"\s", v)
     turns = len(re.findall(r"(?<=[a-z])[A-Z]|(?<=[A-Z])[a-z]", v))
     mixed = re.search(r"\d", v) or len(v) >= 8 and (turns >= 4 or turns and re.search(r"[#*!%^&+?~]", v))
+    if re.match(r"(?:[A-Z][a-z]+)+-(?:[A-Z][a-z]+)+$", v):
+        return False
     return bool(mixed) and not v.replace(".", "").isdigit() and not re.match(r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+$", v)
 
 
