@@ -180,7 +180,7 @@ def _shingles(text: str) -> np.ndarray:
     h = codes[:-4].copy()
     for k in range(1, 5):
         h = h * np.uint64(6364136223846793005) + codes[k : len(codes) - 4 + k]
-    return np.unique(h >> np.uint64(33)).astype(np.int64)
+    return np.unique(h >> np.uint64(33)).astype(np.int32)
 
 
 def _bands(shingles: np.ndarray) -> list[int]:
@@ -192,7 +192,7 @@ def _bands(shingles: np.ndarray) -> list[int]:
     return h.astype(np.int64).tolist()
 
 
-PROFILE = "file_id bigint, reasons array<string>, class_id bigint, shingles array<bigint>, bands array<bigint>"
+PROFILE = "file_id bigint, reasons array<string>, class_id bigint, shingles array<int>, bands array<bigint>"
 
 
 def profiles(files: DataFrame) -> DataFrame:
@@ -216,7 +216,7 @@ def profiles(files: DataFrame) -> DataFrame:
                 if "third_party" in by_notice or "vendored" in by_path:
                     reasons.append("vendored")
                 s = _shingles(text)
-                class_id = int(np.bitwise_xor.reduce(s * np.int64(0x5851F42D4C957F2D))) ^ len(s) if len(s) else None
+                class_id = int(np.bitwise_xor.reduce(s.astype(np.int64) * np.int64(0x5851F42D4C957F2D))) ^ len(s) if len(s) else None
                 rows.append((file_id, reasons, class_id, s.tolist(), _bands(s) if len(s) else []))
             yield pd.DataFrame(rows, columns=["file_id", "reasons", "class_id", "shingles", "bands"])
 
@@ -236,18 +236,19 @@ def not_handwritten(files: DataFrame) -> DataFrame:
     classes = (
         seen.where("class_id is not null")
         .groupBy("class_id")
-        .agg(F.first("shingles").alias("shingles"), F.first("bands").alias("bands"), F.max(vendored).alias("known"), F.max(F.size("reasons") == 0).alias("open"))
+        .agg(F.first("bands").alias("bands"), F.max(vendored).alias("known"), F.max(F.size("reasons") == 0).alias("open"))
     )
     classes = stored(classes, "classes")
-    body = classes.select("class_id", "shingles")
     known = classes.where("known").select("class_id", F.explode("bands").alias("band"))
     open_ = classes.where("open and not known").select("class_id", F.explode("bands").alias("band"))
 
     def verified(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.distinct()
+        met = pairs.select(F.col("open_id").alias("class_id")).unionByName(pairs.select(F.col("known_id").alias("class_id"))).distinct()
+        body = seen.select("class_id", "shingles").join(met, "class_id", "left_semi").groupBy("class_id").agg(F.first("shingles").alias("shingles"))
         a, b = body.alias("a"), body.alias("b")
         return (
-            pairs.distinct()
-            .join(a, F.col("open_id") == F.col("a.class_id"))
+            pairs.join(a, F.col("open_id") == F.col("a.class_id"))
             .join(b, F.col("known_id") == F.col("b.class_id"))
             .where(_similar("a", "b"))
             .select(F.col("open_id").alias("class_id"))
