@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MAX_EXACT = 16
+PER_LITERAL = 3
 
 
 def _join(op: str, parts: list):
@@ -29,7 +30,10 @@ def _join(op: str, parts: list):
 
 
 def _grams(text: str):
-    return _join("and", [text[i : i + 3] for i in range(len(text) - 2)])
+    """At most `PER_LITERAL` trigrams of a literal, spread over it: each is required, and the rest would say little more."""
+    n = len(text) - 2
+    places = range(n) if n <= PER_LITERAL else sorted({round(k * (n - 1) / (PER_LITERAL - 1)) for k in range(PER_LITERAL)})
+    return _join("and", [text[i : i + 3] for i in places])
 
 
 def _any_of(texts):
