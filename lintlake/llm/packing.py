@@ -104,7 +104,9 @@ def containers(sized: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -
         return group[["doc_id", "part", "start_token", "n_tokens", "container_id"]]
 
     dealt = items.withColumn("block", F.pmod(F.xxhash64("doc_id", "part"), F.lit(blocks)))
-    return dealt.groupBy("block").applyInPandas(fill, "doc_id bigint, part int, start_token bigint, n_tokens bigint, container_id bigint")
+    spark = sized.sparkSession
+    tasks = min(blocks, max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return dealt.repartition(tasks, "block").groupBy("block").applyInPandas(fill, "doc_id bigint, part int, start_token bigint, n_tokens bigint, container_id bigint")
 
 
 def report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
