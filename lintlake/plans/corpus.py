@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.functions.text import lines_of_code
-from lintlake.operators import configs, findings, masking, python_code, rules, sql_statements
+from lintlake.operators import configs, file_rules, findings, masking, python_code, rules, sql_statements
 from lintlake.operators.catalog_rules import FAMILIES
 from lintlake.session import table
 from lintlake.sources.files import EXTENSIONS, detect_language, excluded
@@ -166,6 +166,26 @@ def workload_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return configs.template_findings(kv, "helm").unionByName(configs.template_findings(kv, "serverless")).unionByName(configs.template_findings(kv, "cloudformation"))
 
 
+def safety_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shell scripts without safety flags."""
+    return file_rules.missing_safety_flags(sources(spark, sf_dir, "shell"))
+
+
+def image_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dockerfiles that never leave the root user."""
+    return file_rules.image_users(sources(spark, sf_dir, "dockerfile"))
+
+
+def indentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """YAML files with more than three widths of indentation."""
+    return file_rules.uneven_indentation(sources(spark, sf_dir, "yaml"))
+
+
+def yaml_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """YAML files that do not parse."""
+    return file_rules.yaml_errors(sources(spark, sf_dir, "yaml"))
+
+
 def _all_sql() -> str:
     parts = []
     for name in FAMILIES:
@@ -196,6 +216,10 @@ QUERIES = {
     "config_rules": config_rules,
     "config_keys": config_keys,
     "workload_rules": workload_rules,
+    "safety_flags": safety_flags,
+    "image_users": image_users,
+    "indentation": indentation,
+    "yaml_errors": yaml_errors,
 }
 
 _FILES_SQL = f"SELECT file_id || ':' || file_path AS path, content, {_language_sql()} AS language FROM source_files"
@@ -213,6 +237,13 @@ SQL = {
     **{f"rules_{n}_files": rules.line_findings_sql(n, f"SELECT path, content FROM ({_FILES_SQL}) WHERE language = '{FAMILIES[n].languages[0]}'") for n in FAMILIES if n not in ("makefile",)},
     "pii_masked": _masked_sql(),
     "pii_residual": " UNION ALL ".join(f"SELECT '{n}' AS pattern, count(*) AS n FROM cloud_findings WHERE regexp_matches(evidence, '{p.replace(chr(39), chr(39) * 2)}') HAVING count(*) > 0" for n, p in masking.PATTERNS.items()),
+    "safety_flags": f"""SELECT path, 1 AS line, 'SHELL_MISSING_SAFETY' AS issue_type, 'MEDIUM' AS severity FROM (SELECT path, string_split(content, chr(10)) AS p FROM ({_FILES_SQL}) WHERE language = 'shell')
+      WHERE len(p) > 10 AND regexp_matches(p[1], '^#!.*\\b(?:ba)?sh\\b') AND len(list_filter(p[1:20], lambda x: regexp_matches(x, '^\\s*set\\s+-\\w*[euo]'))) = 0""",
+    "image_users": f"""WITH x AS (SELECT path, unnest(string_split(content, chr(10))) AS t, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS n FROM ({_FILES_SQL}) WHERE language = 'dockerfile'),
+      u AS (SELECT path, bool_or(regexp_matches(t, '(?i)^\\s*FROM\\s+\\S+')) AS f, max_by(regexp_extract(t, '(?i)^\\s*USER\\s+(\\S+)', 1), n) FILTER (regexp_matches(t, '(?i)^\\s*USER\\s+\\S+')) AS u FROM x GROUP BY path)
+      SELECT path, CASE WHEN u IS NULL THEN 'DOCKER001' ELSE 'DOCKER004' END AS rule_id, CASE WHEN u IS NULL THEN 'MEDIUM' ELSE 'HIGH' END AS severity FROM u WHERE f AND (u IS NULL OR lower(string_split(u, ':')[1]) IN ('root', '0'))""",
+    "indentation": f"""WITH x AS (SELECT path, unnest(string_split(content, chr(10))) AS t FROM ({_FILES_SQL}) WHERE language = 'yaml')
+      SELECT path, count(DISTINCT length(regexp_extract(t, '^( +)', 1))) AS widths FROM x WHERE regexp_matches(t, '^ +[^ #]') GROUP BY path HAVING count(DISTINCT length(regexp_extract(t, '^( +)', 1))) > 3""",
     "context_windows": """WITH s AS (SELECT file_id, string_split(content, chr(10)) AS p FROM source_files), m AS (SELECT file_id, p, greatest(len(p) // 2, 1) AS line FROM s),
       w AS (SELECT file_id, p, greatest(line - 5, 1) AS a, least(line + 5, len(p)) AS b FROM m)
       SELECT file_id, sha256(array_to_string(p[a:b], chr(10))) AS digest, CAST(a AS INTEGER) AS start_line, CAST(b AS INTEGER) AS end_line FROM w""",

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lintlake.functions import text
-from lintlake.operators import rules, sql_statements
+from lintlake.operators import file_rules, rules, sql_statements
 from lintlake.operators.catalog_rules import FAMILIES
 
 CASES = {
@@ -59,3 +59,18 @@ def test_scalars(spark):
         text.sanitised_args(F.lit("a /x/y b@c.d my-token z")),
     ).collect()[0]
     assert list(got) == ["a<path> <n> x", 'a "b" ', True, None, "a-b-c", "a-b", "&lt;a &amp; &#39;b&#39;&gt;", 2, None, 2, 0.0, "a <path> <email> <secret> z"]
+
+
+def test_file_rules(spark):
+    long = "#!/bin/bash\n" + "echo\n" * 12
+    files = spark.createDataFrame([("a", long), ("b", long.replace("echo", "set -eu", 1)), ("c", "#!/bin/sh\n"), ("n", None)], "path string, content string")
+    assert [r.path for r in file_rules.missing_safety_flags(files).collect()] == ["a"]
+    images = spark.createDataFrame([("a", "FROM x\nUSER app\nUSER root:root\n"), ("b", "FROM x\n"), ("c", "FROM x\nUSER 0\nUSER app"), ("d", "# no image")], "path string, content string")
+    assert {(r.path, r.rule_id) for r in file_rules.image_users(images).collect()} == {("a", "DOCKER004"), ("b", "DOCKER001")}
+    yaml = spark.createDataFrame([("a", "x:\n y:\n   z:\n     w:\n       v: 1\n"), ("b", "x: [\n"), ("n", None)], "path string, content string")
+    assert [r.path for r in file_rules.uneven_indentation(yaml).collect()] == ["a"]
+    assert [(r.path, r.line) for r in file_rules.yaml_errors(yaml).collect()] == [("b", 2)]
+    nets = spark.createDataFrame([("0.0.0.0/0", True), ("10.0.0.0/8", False), ("8.8.8.0/24", True), ("::/0", True), ("fe80::/10", False), ("*", True), ("nonsense", False), (None, False)], "c string, want boolean")
+    assert all(r.got == r.want for r in nets.select("want", file_rules.public_network("c").alias("got")).collect())
+    sizes = iter([100, 150])
+    assert file_rules.memory_gate(lambda: 7, 50, lambda: next(sizes)) == {"before_kb": 100, "after_kb": 150, "threshold_kb": 50, "passed": True, "result": 7}
