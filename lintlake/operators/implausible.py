@@ -97,7 +97,7 @@ def states(x: np.ndarray, metric: str) -> np.ndarray:
         far = _outside(v, spikes | long_run, share, floor)
         far = np.where(np.isfinite(far), far, 0)
         emission = np.empty((len(x), 4))
-        emission[:, 0] = np.exp(-np.minimum(1.6 * far, 60)) * np.where(long_run, rate**RUN, np.where(repeats, rate, 1 - rate))
+        emission[:, 0] = np.exp(-np.minimum(2.1 * far, 60)) * np.where(long_run, rate**RUN, np.where(repeats, rate, 1 - rate))
         emission[:, 1] = np.where(far > 0, 0.02 * (1 - np.exp(-far)), 1e-9)
         emission[:, 2] = np.where(long_run, 1.0, np.where(repeats, 1e-3, 1e-9))
         emission[:, 3] = 1e-12
