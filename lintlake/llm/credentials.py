@@ -2,7 +2,7 @@
 
 A trigram index over the texts, a chunk being one text, has for every chunk the trigrams that any detection
 expression requires (`trigrams.required` derives them; others can't narrow a search). The postings lie chunk by
-chunk, as flags, so intersecting them needs no shuffle. An expression is run only on chunks that its formula lets
+chunk, as bitmaps, so intersecting them is a mask and needs no shuffle. An expression is run only on chunks that its formula lets
 through, and its match counts when the value is literal: no reference, placeholder, mask, hash or name.
 
 Null or empty text: no row. Repeated rows: each its own result. Of matches that overlap the outermost stays.
@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -168,37 +169,69 @@ def redact(text: str, places: list[tuple[int, int, str]], mark: str = "*") -> st
     return "".join(out)
 
 
-def index(texts: DataFrame, column: str) -> tuple[DataFrame, dict]:
-    """The chunks with `grams`, their flags for all required trigrams; and each trigram's place."""
+WORD = 60
+
+
+def index(texts: DataFrame, column: str) -> tuple[DataFrame, dict[str, tuple[str, int]]]:
+    """The chunks with their postings as bitmaps, `WORD` required trigrams to a column; and each trigram's column and bit."""
     wanted = sorted(set().union(*[leaves(required(p)) for p in RULES.values()]))
-    low = F.lower(F.col(column))
-    chunks = texts.withColumn("_low", low).withColumn("grams", F.array(*[F.contains(F.col("_low"), F.lit(t)) for t in wanted])).drop("_low")
-    return chunks, {t: i for i, t in enumerate(wanted)}
+    words = [wanted[i : i + WORD] for i in range(0, len(wanted), WORD)]
+    chunks = texts.withColumn("_low", F.lower(F.col(column)))
+    for j, grams in enumerate(words):
+        held = F.lit(0).cast("bigint")
+        for k, t in enumerate(grams):
+            held = held.bitwiseOR(F.when(F.contains(F.col("_low"), F.lit(t)), F.lit(1 << k)).otherwise(F.lit(0)))
+        chunks = chunks.withColumn(f"_grams{j}", held)
+    return chunks.drop("_low"), {t: (f"_grams{j}", k) for j, grams in enumerate(words) for k, t in enumerate(grams)}
+
+
+FORMULAS = {name: required(p) for name, p in RULES.items()}
+
+
+def let_through(batch: pd.DataFrame, bit: dict[str, tuple[str, int]]) -> list[list[str]]:
+    """Per chunk the expressions whose formulas its postings meet."""
+    words = {name: batch[name].to_numpy(np.int64) for name in {name for name, _ in bit.values()}}
+    met = {rule: holds(f, bit, words) for rule, f in FORMULAS.items()}
+    out: list[list[str]] = [[] for _ in range(len(batch))]
+    for rule, rows in met.items():
+        for i in np.flatnonzero(rows):
+            out[i].append(rule)
+    return out
 
 
 def candidates(texts: DataFrame, column: str) -> DataFrame:
     """Texts that some expression may match, with `rules`, the names of those expressions."""
-    chunks, place = index(texts.where(F.length(column) > 0), column)
-    posting = {t: F.col("grams")[i] for t, i in place.items()}
-    rules = F.array_compact(F.array(*[F.when(holds(required(p), posting), F.lit(name)) for name, p in RULES.items()]))
-    return chunks.withColumn("rules", rules).drop("grams").where(F.size("rules") > 0)
+    chunks, bit = index(texts.where(F.length(column) > 0), column)
+    schema = ", ".join(f"`{n}` {t}" for n, t in texts.dtypes) + ", rules array<string>"
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = batch[texts_columns].copy()
+            out["rules"] = let_through(batch, bit)
+            yield out[out["rules"].map(len) > 0]
+
+    texts_columns = texts.columns
+    return chunks.mapInPandas(look, schema)
 
 
 def credentials(texts: DataFrame, keys: list[str], column: str, with_text: bool = False) -> DataFrame:
     """A row per credential: the key columns, start_pos (from 1), end_pos (past its end), rule_name; the redacted text if asked for."""
-    picked = candidates(spread(texts.select(*keys, F.col(column).alias("_text"))), "_text")
-    kinds = dict(picked.dtypes)
+    chunks, bit = index(spread(texts.select(*keys, F.col(column).alias("_text"))).where(F.length("_text") > 0), "_text")
+    kinds = dict(chunks.dtypes)
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", start_pos int, end_pos int, rule_name string" + (", redacted string" if with_text else "")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for row in batch.itertuples(index=False):
-                *key, text, rules = row
+            for i, rules in enumerate(let_through(batch, bit)):
+                if not rules:
+                    continue
+                text = batch["_text"].iat[i]
                 places = spans(text, rules)
                 if places:
                     tail = (redact(text, places),) if with_text else ()
+                    key = [batch[k].iat[i] for k in keys]
                     rows.extend((*key, a + 1, b + 1, rule, *tail) for a, b, rule in places)
             yield pd.DataFrame(rows, columns=[*keys, "start_pos", "end_pos", "rule_name", *(["redacted"] if with_text else [])])
 
-    return picked.select(*keys, "_text", "rules").mapInPandas(verify, schema)
+    return chunks.mapInPandas(verify, schema)

@@ -9,8 +9,7 @@ from __future__ import annotations
 import re._constants as c
 import re._parser as parser
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+import numpy as np
 
 MAX_EXACT = 16
 PER_LITERAL = 3
@@ -111,14 +110,24 @@ def leaves(formula) -> set[str]:
     return set().union(*[leaves(p) for p in formula[1]])
 
 
-def holds(formula, posting: dict[str, Column]) -> Column:
-    """The formula as an intersection and union of postings, one boolean per chunk and trigram."""
+def holds(formula, bit: dict[str, tuple[str, int]], words: dict[str, np.ndarray]) -> np.ndarray:
+    """The formula over postings kept as bitmaps, for many chunks at once: `bit` gives the word and the bit of every trigram.
+
+    Trigrams that are required together and lie in one word are one mask.
+    """
     if formula is True:
-        return F.lit(True)
+        return np.ones(len(next(iter(words.values()))), bool)
     if isinstance(formula, str):
-        return posting[formula]
-    columns = [holds(p, posting) for p in formula[1]]
-    out = columns[0]
-    for x in columns[1:]:
-        out = (out & x) if formula[0] == "and" else (out | x)
-    return out
+        formula = ("and", (formula,))
+    masks: dict[str, int] = {}
+    parts = []
+    for part in formula[1]:
+        if isinstance(part, str):
+            name, k = bit[part]
+            masks[name] = masks.get(name, 0) | 1 << k
+        else:
+            parts.append(holds(part, bit, words))
+    for name, mask in masks.items():
+        met = words[name] & np.int64(mask)
+        parts.append(met == mask if formula[0] == "and" else met != 0)
+    return np.logical_and.reduce(parts) if formula[0] == "and" else np.logical_or.reduce(parts)
