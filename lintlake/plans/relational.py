@@ -61,10 +61,14 @@ def scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.in_scopes(rows, starts)
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of similarity 0.3 and more among the first 200 vectors by id."""
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding").orderBy("id").limit(200)
-    return similarity.near_duplicates(v, 0.3).withColumn("similarity", F.round("similarity", 6))
+    """Pairs of similar letter counts among the 200 longest documents; the longest texts are the feature."""
+    d = similarity.longest(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("text")))
+    counts = F.array(*[(F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))).cast("double") for c in LETTERS])
+    return similarity.near_duplicates(d.select("id", counts.alias("embedding")), 0.995).withColumn("similarity", F.round("similarity", 6))
 
 
 def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,8 +121,10 @@ SQL = {
       SELECT p AS function_called, e1 AS expected_1, e AS expected_2, o1 AS path_1, o AS path_2 FROM w WHERE e <> e1""",
     "scopes": """WITH e AS (SELECT user_id, event_id, event_type, CAST(floor(epoch(ts) / 60) AS BIGINT) AS m FROM events), s AS (SELECT user_id, m, min(event_id) AS scope FROM e WHERE event_type = 'signup' GROUP BY 1, 2)
       SELECT e.user_id AS path, e.m AS line, e.event_id, min_by(s.scope, s.m) AS scope FROM e JOIN s ON e.user_id = s.user_id AND e.m BETWEEN s.m AND s.m + 60 GROUP BY 1, 2, 3""",
-    "near_duplicates": f"""WITH v AS (SELECT vec_id, embedding FROM embeddings ORDER BY vec_id LIMIT 200), p AS (SELECT a.vec_id AS id_1, b.vec_id AS id_2, {_COSINE} AS s FROM v a JOIN v b ON a.vec_id < b.vec_id)
-      SELECT id_1, id_2, round(s, 6) AS similarity, CASE WHEN s >= 0.95 THEN 'HIGH' WHEN s >= 0.90 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM p WHERE s >= 0.3""",
+    "near_duplicates": f"""WITH d AS (SELECT doc_id, lower(text) AS t FROM documents ORDER BY length(lower(text)) DESC, doc_id LIMIT 200),
+      v AS (SELECT doc_id, [{", ".join(f"CAST(length(t) - length(replace(t, '{c}', '')) AS DOUBLE)" for c in LETTERS)}] AS embedding FROM d),
+      p AS (SELECT a.doc_id AS id_1, b.doc_id AS id_2, {_COSINE} AS s FROM v a JOIN v b ON a.doc_id < b.doc_id)
+      SELECT id_1, id_2, round(s, 6) AS similarity, CASE WHEN s >= 0.95 THEN 'HIGH' WHEN s >= 0.90 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM p WHERE s >= 0.995""",
     "nearest": f"""SELECT a.vec_id AS query_id, b.vec_id AS id, round({_COSINE}, 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
       QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COSINE} DESC, b.vec_id) <= 5""",
     "longest_documents": "SELECT doc_id AS id, CAST(length(text) AS INTEGER) AS chars FROM documents ORDER BY length(text) DESC, doc_id LIMIT 200",
