@@ -61,14 +61,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors where they would not find it: unless its folder is on PYTHONPATH or the working folder.
+    """Send this package to the executors, but in local mode where its folder is on PYTHONPATH or the working folder.
 
     The archive is made by the driver and served by it, once per application.
     """
     package = Path(__file__).resolve().parent
     known = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p] + [Path.cwd().resolve()]
     context = spark.sparkContext
-    if package.parent in known or getattr(context, "_lintlake_shipped", False):
+    local = context.master == "local" or context.master.startswith("local[")
+    if local and package.parent in known or getattr(context, "_lintlake_shipped", False):
         return
     archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="lintlake-"), package.name), "zip", package.parent, package.name)
     context.addPyFile(archive)
