@@ -18,11 +18,11 @@ def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "analysis_issues").select(F.concat(F.lit("issue/"), "issue_id").alias("path"), F.col("code_snippet").alias("content"))
 
 
-def sources(spark: SparkSession, sf_dir: str, language: str | None = None) -> DataFrame:
-    """Source files as (path, content), each path with its file_id in front so that later scans differ."""
+def sources(spark: SparkSession, sf_dir: str, *languages: str) -> DataFrame:
+    """Source files as (path, content), each path with its file_id in front so that later scans differ; of all languages, and with the language, where none is named."""
     files = table(spark, sf_dir, "source_files")
     rows = files.select(F.concat_ws(":", "file_id", "file_path").alias("path"), "content", detect_language(F.col("file_path")).alias("language"))
-    return rows.where(F.col("language") == language).select("path", "content") if language else rows
+    return rows.where(F.col("language").isin(*languages)).select("path", "content") if languages else rows
 
 
 def _language_sql() -> str:
@@ -78,6 +78,15 @@ def _family(name: str, of_files: bool):
     return query
 
 
+def _all_languages(name: str):
+    """The family over the files of every language it names; its older file query and that one's SQL read the first language only."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rules.line_findings(sources(spark, sf_dir, *FAMILIES[name].languages), name)
+
+    return query
+
+
 def content_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PowerShell and Groovy rules over whole snippets."""
     rows = snippets(spark, sf_dir)
@@ -202,6 +211,7 @@ QUERIES = {
     "gate_high": gate_high,
     **{f"rules_{n}_snippets": _family(n, False) for n in FAMILIES},
     **{f"rules_{n}_files": _family(n, True) for n in FAMILIES if n not in ("makefile",)},
+    **{f"rules_{n}_all_files": _all_languages(n) for n, f in FAMILIES.items() if len(f.languages) > 1},
     "content_rules": content_rules,
     "sql_statement_rules": sql_statement_rules,
     "pii_masked": pii_masked,

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from lintlake.functions import text
 from lintlake.operators import file_rules, rules, sql_statements
 from lintlake.operators.catalog_rules import FAMILIES
+from lintlake.plans import corpus
 
 CASES = {
     "sql": ("EXEC('+x)\nSELECT * FROM t\n-- SELECT * FROM t\npassword = 'abcd'\nGRANT ALL ON t TO x WITH GRANT OPTION\n", {(1, "SQL001"), (2, "SQL030"), (4, "SQL010"), (5, "SQL040")}),
@@ -74,3 +75,10 @@ def test_file_rules(spark):
     assert all(r.got == r.want for r in nets.select("want", file_rules.public_network("c").alias("got")).collect())
     sizes = iter([100, 150])
     assert file_rules.memory_gate(lambda: 7, 50, lambda: next(sizes)) == {"before_kb": 100, "after_kb": 150, "threshold_kb": 50, "passed": True, "result": 7}
+
+
+def test_secrets_are_searched_in_all_languages(spark, tmp_path):
+    names = ["a.py", "a.js", "a.ts", "a.java", "a.go", "a.rs", "a.cs", "a.sql"]
+    rows = [(i, n, "password = 'abcdefgh'\n") for i, n in enumerate(names)]
+    spark.createDataFrame(rows, "file_id bigint, file_path string, content string").write.parquet(f"{tmp_path}/source_files.parquet")
+    assert {r.path for r in corpus.QUERIES["rules_secrets_all_files"](spark, str(tmp_path)).collect()} == {f"{i}:{n}" for i, n in enumerate(names[:7])}
