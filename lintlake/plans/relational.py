@@ -71,6 +71,12 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.near_duplicates(d.select("id", counts.alias("embedding")), 0.995).withColumn("similarity", F.round("similarity", 6))
 
 
+def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with near duplicates among all documents; `near_duplicates` and its SQL look at the 200 longest."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return similarity.similar_texts(d).withColumn("similarity", F.round("similarity", 6))
+
+
 def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of every hundredth, against all."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
@@ -96,6 +102,7 @@ QUERIES = {
     "contradictions": contradictions,
     "scopes": scopes,
     "near_duplicates": near_duplicates,
+    "similar_documents": similar_documents,
     "nearest": nearest,
     "longest_documents": longest_documents,
     "running_cursor": running_cursor,

@@ -1,3 +1,7 @@
+import math
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from lintlake.operators import configs, diffs, drift, findings, masking, similarity
@@ -162,3 +166,29 @@ def test_similarity(spark):
     got = similarity.neighbours(v, k=3, block=2).collect()
     assert {r.query_id for r in got} == {0, 100, 200} and len(got) == 9 and all(r.id != r.query_id for r in got)
     assert similarity.neighbours(v.limit(0)).count() == 0
+
+
+def test_similar_texts_equal_brute_force(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(1, 60))) for _ in range(120)]
+    for k in range(120):
+        w = texts[k].split()
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(len(w))] = "changed"
+        texts.append(" ".join(w))
+    texts += [f"long text {i} " * 90 + "".join(rng.choice("xyz ") for _ in range(900)) for i in range(205)] + ["same words here", "Same, words: here!", "", None]
+    rows = list(enumerate(texts))
+
+    def vector(t):
+        w = [x for x in re.split(r"[\W_]+", (t or "").lower()) if x]
+        return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+    v = [vector(t) for t in texts]
+    want = {}
+    for i in range(len(v)):
+        hits = [len(v[i] & v[j]) / math.sqrt(len(v[i]) * len(v[j])) for j in range(len(v)) if i != j and v[i] and v[j]]
+        hits = [x for x in hits if x >= 0.85 - 1e-12]
+        if hits:
+            want[i] = (min(j for j in range(len(v)) if v[j] == v[i]), len(hits), round(max(hits), 9))
+    got = similarity.similar_texts(spark.createDataFrame(rows, "id bigint, text string")).collect()
+    assert {r.id: (r.class_id, r.links, round(r.similarity, 9)) for r in got} == want and len(got) == len(want) > 100
