@@ -247,6 +247,53 @@ def yaml_statements(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
+_CONTROLS = frozenset("if else for while do switch try catch finally with synchronized".split())
+
+
+def brace_statements(tokens: list[tuple[str, int]]) -> list[tuple[int, int, str, str]]:
+    """(seq, block depth, head, shape) of `else`, `case` and `for` of JavaScript, TypeScript and Java; `orphan` follows no production.
+
+    An `else` needs an open `if` before it in its block, a `case` the block of a `switch`, a `for` header none or two semicolons.
+    Where statements end without semicolon or block, an `if` stays open, so nothing legal is an orphan.
+    """
+    out = []
+    prev = closed = ""
+    stack = [{"open": "", "head": "", "ifs": 0, "dos": 0, "semis": 0, "ended": False}]
+    for k, (token, _) in enumerate(tokens):
+        t, top = token.lstrip("^"), stack[-1]
+        if top["ended"]:
+            top["ended"] = False
+            if t == "while" and top["dos"]:
+                top["dos"] -= 1
+            elif t not in ("else", "catch", "finally"):
+                top["ifs"] = top["dos"] = 0
+        if t == "SM":
+            top["semis"] += 1
+            top["ended"] = top["open"] != "LP"
+        elif t == "if":
+            top["ifs"] += 1
+        elif t == "do":
+            top["dos"] += 1
+        elif t == "else":
+            out.append((len(out), len(stack) - 1, "else", "if" if top["ifs"] else "orphan"))
+            top["ifs"] = max(top["ifs"] - 1, 0)
+        elif t == "case":
+            following = tokens[k + 1][0].lstrip("^") if k + 1 < len(tokens) else ""
+            if top["open"] == "LCB" and following not in ("CC", "XC", "TC", "LAB"):
+                out.append((len(out), len(stack) - 1, "case", "switch" if top["head"] == "switch" else "orphan"))
+        elif t in ("LP", "LB") or t.startswith("LC"):
+            stack.append({"open": t, "head": closed if prev == "RPH" else prev, "ifs": 0, "dos": 0, "semis": 0, "ended": False})
+        elif (t in ("RP", "RPH", "RB") or t.startswith("RC")) and len(stack) > 1:
+            level = stack.pop()
+            if level["open"] == "LP":
+                closed = level["head"]
+                if closed == "for":
+                    out.append((len(out), len(stack) - 1, "for", "header" if level["semis"] in (0, 2) else "orphan"))
+            stack[-1]["ended"] = level["open"].startswith("LC") and level["head"] in _CONTROLS
+        prev = t
+    return out
+
+
 def statements(text: str, language: str, tokens: list[tuple[str, int]]) -> list[tuple[int, int, str, str]]:
     if language == "python":
         return python_statements(tokens)
@@ -254,6 +301,8 @@ def statements(text: str, language: str, tokens: list[tuple[str, int]]) -> list[
         return docker_statements(text)
     if language == "yaml":
         return yaml_statements(text)
+    if language in ("javascript", "typescript", "java"):
+        return brace_statements(tokens)
     return []
 
 
@@ -265,4 +314,4 @@ def legal(language: str, head: str, shape: str) -> bool:
         return legal_docker(head, shape)
     if language == "python":
         return shape != "cut"
-    return shape not in ("conflict", "tab", "open", "odd") and not (language == "yaml" and head == "scalar" and shape != "empty")
+    return shape not in ("conflict", "tab", "open", "odd", "orphan") and not (language == "yaml" and head == "scalar" and shape != "empty")

@@ -92,3 +92,20 @@ def test_languages_and_parsers():
     assert parses("{}", "json") and not parses("{", "json") and not parses("x", "go")
     assert legal_sql(*sql_statements("SELECT 1")[1][0][2:]) and not legal_sql(*sql_statements("SELECT FROM")[1][0][2:])
     assert not legal_docker(*docker_statements("HELLO x")[0][2:])
+
+
+ORPHANS = ["foo(); else { bar(); }", "if (a) { x(); } else { y(); } else { z(); }", "if (a) x(); else y(); else z();", "while (a) { b(); } else { c(); }", "if (a) b(); c(); else d();", "for (a; b) { c(); }", "{ case 1: b(); }"]
+PAIRED = [
+    "if (a) do x(); while (b); else c();", "if (a) do { x(); } while (b); else c();", "if (a) for (i = 0; i < 3; i++) { b(); } else c();", "if (a) switch (b) { case 1: d(); break; default: e(); } else c();",
+    "if (a) try { b(); } finally { c(); } else d();", "if (a) if (b) c(); else d(); else if (e) f(); else g();", "if (a) while (b) { if (c) d(); } else e();", "for (;;) { if (a) ; else break; }",
+]
+
+
+@pytest.mark.parametrize("path", ["a.js", "a.ts", "a.java"])
+def test_statements_of_brace_languages(spark, path):
+    whole = (lambda t: f"class A {{ void f() {{ {t} }} }}") if path == "a.java" else (lambda t: t)
+    rows = [(i, "r", path, whole(t)) for i, t in enumerate([*ORPHANS, *PAIRED])]
+    if path != "a.java":
+        rows += [(90 + i, "r", path, t) for i, t in enumerate(["if (a) b()\nelse c()", "if (a) x = () => { b() }\nelse c()", "x.else = { else: 1, case: 2, for: 3 }", "if (a) x = function () { b(); }; else c();"])]
+    got = {r.file_id for r in unparsable(spark.createDataFrame(rows, "file_id bigint, repo string, file_path string, content string")).collect()}
+    assert got == set(range(len(ORPHANS)))
