@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.functions.text import lines_of_code
-from lintlake.operators import configs, file_rules, findings, masking, python_code, rules, sql_statements
+from lintlake.operators import configs, file_rules, findings, masking, python_code, rules, security_lines, sql_statements
 from lintlake.operators.catalog_rules import FAMILIES
 from lintlake.session import table
 from lintlake.sources.files import EXTENSIONS, detect_language, excluded
@@ -147,6 +147,11 @@ def python_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return python_code.fact_findings(python_code.facts(sources(spark, sf_dir, "python")))
 
 
+def security_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL and shell injections and evals by line, in files of the languages of the secrets."""
+    return security_lines.security_findings(sources(spark, sf_dir).where(F.col("language").isin(*FAMILIES["secrets"].languages)))
+
+
 def python_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Modules that Python files import, by number of files."""
     rows = python_code.facts(sources(spark, sf_dir, "python")).where("fact = 'import'")
@@ -221,6 +226,7 @@ QUERIES = {
     "python_complexity": python_complexity,
     "python_smells": python_smells,
     "python_facts": python_facts,
+    "security_files": security_files,
     "python_imports": python_imports,
     "parser_quarantine": parser_quarantine,
     "config_rules": config_rules,

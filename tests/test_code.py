@@ -1,4 +1,4 @@
-from lintlake.operators import cobol, python_code
+from lintlake.operators import cobol, python_code, security_lines
 
 CODE = '''import os, pickle
 from a.b import c
@@ -97,3 +97,14 @@ def test_cobol(spark):
     assert got == {("COB002", 6, "CRITICAL"), ("COB003", 7, "MEDIUM"), ("COB004", 9, "HIGH"), ("COB005", 10, "MEDIUM"), ("COB007", 11, "CRITICAL"), ("COB007", 12, "HIGH"), ("COB006", 13, "HIGH"), ("COB001", 14, "HIGH")} | {g for g in got if g[0] == "COB002" and g[1] == 4}
     assert not [r for r in rows.collect() if "comment" in r.text]
     assert {(r.copybook, r.programs) for r in cobol.blast_radius(rows).collect()} == {("CUSTCOMMON", 1), ("OTHER", 1)}
+
+
+def test_security_lines(spark):
+    code = "\n".join([
+        "def f(c, x):", '    q = f"SELECT a FROM t WHERE x = {x}"', '    c.execute("SELECT a FROM t WHERE x = %s", (x,))', '    # f"SELECT {x}"', '    r = "DELETE FROM t WHERE x = {}".format(x)', "",
+        "def k(x):", '    log(f"SELECT {x}")', "def g(x):", '    subprocess.run("rm " + x, shell=True)', '    subprocess.run(["rm", "a" + x])', '    subprocess.Popen(f"rm {x}", shell=True)', '    os.system("ls")', "    eval(x)",
+        'h = f"SELECT {x}"',
+    ])
+    rows = [("a.py", code, "python"), ("b.js", "eval(x); exec (y)\nretrieval(x)\n", "javascript"), ("n", None, "go")]
+    got = {(r.path, r.line, r.rule_id, r.name) for r in security_lines.security_findings(spark.createDataFrame(rows, "path string, content string, language string")).collect()}
+    assert got == {("a.py", 2, "SEC02", ""), ("a.py", 5, "SEC02", ""), ("a.py", 10, "SEC04", "subprocess.run"), ("a.py", 12, "SEC04", "subprocess.Popen"), ("b.js", 1, "SEC05", "eval"), ("b.js", 1, "SEC05", "exec")}
