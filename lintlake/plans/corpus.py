@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintlake.functions.paths import with_canonical_path
 from lintlake.functions.text import lines_of_code
 from lintlake.operators import configs, file_rules, findings, masking, python_code, rules, security_lines, sql_statements
 from lintlake.operators.catalog_rules import FAMILIES
-from lintlake.session import table
+from lintlake.session import stored, table
 from lintlake.sources.files import EXTENSIONS, detect_language, excluded
 
 SNIPPETS_SQL = "SELECT 'issue/' || issue_id AS path, code_snippet AS content FROM analysis_issues"
@@ -122,13 +123,32 @@ SELECT finding_id, CAST(c AS INTEGER) AS redaction_count, sha256(evidence) AS or
 
 
 def context_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twenty lines around each finding's line in its file, joined by path."""
+    """Five lines around the middle line of every file; `issue_windows` cuts those of findings."""
     files = table(spark, sf_dir, "source_files").select("file_id", "content")
     lines = F.size(F.split("content", "\n"))
     w = masking.context_window(F.col("content"), F.greatest(F.floor(lines / 2).cast("int"), F.lit(1)), 5)
     return files.select("file_id", w.alias("w")).select("file_id", F.sha2("w.text", 256).alias("digest"), "w.start_line", "w.end_line")
 
 
+def issue_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty lines around each issue's line in its file, a row per issue and file of its repository and canonical path.
+
+    A file is split once for all lines that its issues name, equal lines are cut once. An issue without file, or whose line its
+    file does not have, keeps a row without window.
+    """
+    key = ["repo", "_path"]
+    issues = stored(with_canonical_path(table(spark, sf_dir, "analysis_issues").select("issue_id", "repo", "file_path", "line")).select("issue_id", *key, "line"), "issues")
+    files = stored(with_canonical_path(table(spark, sf_dir, "source_files").select("file_id", "repo", "file_path", "content")).select("file_id", *key, "content"), "files")
+    asked = issues.where("line >= 1").groupBy(*key).agg(F.collect_set("line").alias("lines"))
+    parts = files.join(asked, key).select("file_id", *key, F.split("content", "\n").alias("parts"), "lines")
+    start = lambda x: F.greatest(x - masking.WINDOW, F.lit(1))
+    end = lambda x: F.least(x + masking.WINDOW, F.size("parts"))
+    cut = lambda x: F.struct(x.alias("line"), F.sha2(F.array_join(F.slice("parts", start(x), end(x) - start(x) + 1), "\n"), 256).alias("digest"), start(x).alias("start_line"), end(x).alias("end_line"))
+    windows = parts.select(*key, "file_id", F.explode(F.transform(F.filter("lines", lambda x: x <= F.size("parts")), cut)).alias("w")).select(*key, "file_id", "w.*")
+    found = issues.join(files.select("file_id", *key), key, "left").join(windows, [*key, "file_id", "line"], "left")
+    return found.select("issue_id", "file_id", "digest", "start_line", "end_line")
+
+
 def python_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Syntax-tree nodes of Python files by type."""
     nodes = python_code.ast_nodes(sources(spark, sf_dir, "python"))
@@ -222,6 +242,7 @@ QUERIES = {
     "pii_masked": pii_masked,
     "pii_residual": pii_residual,
     "context_windows": context_windows,
+    "issue_windows": issue_windows,
     "python_nodes": python_nodes,
     "python_complexity": python_complexity,
     "python_smells": python_smells,

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import re
@@ -5,6 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from lintlake.operators import configs, diffs, drift, findings, masking, similarity
+from lintlake.plans import corpus
 
 SCHEMA = "path string, line int, issue_type string, severity string, message string, rule_id string, confidence double"
 
@@ -192,3 +194,17 @@ def test_similar_texts_equal_brute_force(spark):
             want[i] = (min(j for j in range(len(v)) if v[j] == v[i]), len(hits), round(max(hits), 9))
     got = similarity.similar_texts(spark.createDataFrame(rows, "id bigint, text string")).collect()
     assert {r.id: (r.class_id, r.links, round(r.similarity, 9)) for r in got} == want and len(got) == len(want) > 100
+
+
+def test_issue_windows(spark, tmp_path):
+    text = "\n".join(f"line {i}" for i in range(1, 101))
+    spark.createDataFrame([(1, "r", "a/b.py", text), (2, "r", "a/c.py", "x"), (3, "s", "a/b.py", "other"), (4, "r", "a/d.py", None)], "file_id bigint, repo string, file_path string, content string").write.parquet(f"{tmp_path}/source_files.parquet")
+    issues = [(1, "r", "a/b.py", 50), (2, "r", ".\\a\\b.py", 50), (3, "r", "/home/runner/work/r/r/a/b.py", 1), (4, "r", "a/c.py", 2), (5, "r", "gone.py", 1), (6, "r", "a/b.py", 100), (7, "r", "a/b.py", None), (8, "r", "a/d.py", 1), (9, "s", "a/b.py", 1)]
+    spark.createDataFrame(issues, "issue_id bigint, repo string, file_path string, line int").write.parquet(f"{tmp_path}/analysis_issues.parquet")
+    digest = lambda a, b: hashlib.sha256("\n".join(text.split("\n")[a - 1 : b]).encode()).hexdigest()
+    got = {r.issue_id: (r.file_id, r.digest, r.start_line, r.end_line) for r in corpus.QUERIES["issue_windows"](spark, str(tmp_path)).collect()}
+    none = (None, None, None)
+    assert got == {
+        1: (1, digest(30, 70), 30, 70), 2: (1, digest(30, 70), 30, 70), 3: (1, digest(1, 21), 1, 21), 4: (2, *none), 5: (None, *none), 6: (1, digest(80, 100), 80, 100), 7: (1, *none), 8: (4, *none),
+        9: (3, hashlib.sha256(b"other").hexdigest(), 1, 1),
+    }
