@@ -47,7 +47,7 @@ VENDOR_PAIRS = [("libs", "3rd"), ("contrib", "upstream"), ("lib", "vendor"), ("3
 LOCK_FILES = "package-lock.json npm-shrinkwrap.json yarn.lock pnpm-lock.yaml poetry.lock pdm.lock uv.lock pipfile.lock cargo.lock composer.lock gemfile.lock go.sum packages.lock.json .terraform.lock.hcl gradle.lockfile bun.lock deno.lock flake.lock mix.lock podfile.lock".split()
 
 COMMENT = re.compile(r"^\s*(?://|#|/\*|\*|--|;|<!--|\"\"\"|''')")
-SUFFIX_MINIFIED = re.compile(r"(?:[.\-]min|[.\-]bundle|\.chunk|\.[0-9a-f]{8,})\.(?:js|mjs|cjs|css|ts|py)$|(?:^|/)min\.js$")
+SUFFIX_MINIFIED = re.compile(r"(?:[.\-]min|[.\-]bundle|\.chunk|\.[0-9a-f]{8,})\.(?:js|mjs|cjs|css|ts|mts|cts|py)$|(?:^|/)min\.js$")
 SUFFIX_GENERATED = re.compile(r"(?:\.g|\.gen|\.generated|_generated|\.pb|_pb2|_pb2_grpc|\.designer|_gen|Stub|\.auto)\.\w+$")
 THIRD_PARTY_LINE = re.compile(
     r"(?i)copyright\s+(?:\(c\)|©)?\s*\d{4}.*\b(?:authors|contributors|developers|project|foundation|inc)\b|\(c\)\s+(?:\d{4}\s+)?\S+\s+(?:authors|contributors|developers|project)\b"
@@ -171,6 +171,20 @@ def measures(text: str, path: str) -> set[str]:
     return out
 
 
+def dense(text: str) -> bool:
+    """Whether a text, its strings and block comments aside, has many statements a line and hardly a blank.
+
+    It flags short and string-heavy files as well, so it counts only where a minified suffix is the other evidence.
+    """
+    bare = re.sub(r"/\*[\s\S]*?\*/", "", _STRING.sub('""', text))
+    lines = [x for x in bare.split("\n") if x.strip() and not x.lstrip().startswith("//")]
+    size = sum(map(len, lines))
+    blanks = sum(x.count(" ") + x.count("\t") for x in lines)
+    marks = sum(x.count(c) for x in lines for c in ";{},")
+    airy = sum(x.count(", ") + x.count(" = ") + x.count(": ") + x.count(" {") for x in lines)
+    return bool(lines) and blanks < 0.12 * size and marks >= 4 * len(lines) and airy <= 0.2 * marks
+
+
 def _shingles(text: str) -> np.ndarray:
     """Hashes of the five-word shingles of a text without its comments."""
     words = re.findall(r"\w+|[^\w\s]", "\n".join(x for x in text.split("\n") if not COMMENT.match(x)))
@@ -209,7 +223,7 @@ def profiles(files: DataFrame) -> DataFrame:
                     reasons.append("lock file")
                 if "generated" in by_notice or "accessors" in by_text:
                     reasons.append("generated")
-                if "minified" in by_text:
+                if "minified" in by_text or "minified" in by_path and dense(text):
                     reasons.append("minified")
                 if "data" in by_text:
                     reasons.append("data")

@@ -62,3 +62,13 @@ def test_residue(spark):
     got = {r.doc_id: r.kind for r in residue(docs).collect()}
     assert got == {1: "no_text", 2: "no_text", 3: "no_text", 4: "no_text", 5: "slot", 6: "slot", 15: "no_text", 17: "no_text", 19: "slot", 1001: "no_text"}
     assert residue(docs.limit(0)).count() == 0
+
+
+def test_minified_suffix_counts_with_dense_text(spark):
+    packed = "!function(a){var b={x:1,y:2};a.q(b);c(a)}(window);"
+    strings = "".join(f'if({c}){{throw E("the value that was given here is not allowed",{c})}}' for c in "abcdefgh")
+    css = "a{color:red}b{margin:0;padding:0}.c{top:1px}" * 5
+    hand = "// entry of the bundle\nimport { start } from './start';\n\nexport function run(a, b) {\n  const c = start(a, b);\n  return c;\n}\n"
+    rows = [(1, "a/x.min.js", packed), (2, "a/y.bundle.js", strings), (3, "a/z.min.css", css), (4, "a/w.min.mts", packed), (5, "a/h.min.js", hand), (6, "a/i.bundle.js", "start();\nrun();\n"), (7, "a/x.js", packed), (8, "a/n.min.js", None)]
+    files = spark.createDataFrame(rows, "file_id bigint, file_path string, content string")
+    assert {r.file_id: list(r.reasons) for r in not_handwritten(files).collect()} == {k: ["minified"] for k in (1, 2, 3, 4)}
