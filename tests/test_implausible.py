@@ -33,6 +33,40 @@ def test_short_runs_and_long_bursts_are_none():
     assert not (states(x, "error_rate") > 0).any()
 
 
+def test_runs_of_eight_are_stuck_and_bursts_must_return():
+    x = series()
+    x[100:108] = 0.0123
+    x[398:] = 0.4
+    assert set(np.flatnonzero(states(x, "error_rate") > 0)) == set(range(100, 108))
+    x[200:203] += 0.3
+    assert set(np.flatnonzero(states(x, "error_rate") == 1)) == {200, 201, 202}
+
+
+def test_the_posteriors_decide(monkeypatch):
+    """Flat messages, that is emissions alone, give other flags: repeats of any length, and the end of a series."""
+    x = series()
+    x[100:107] = 0.0123
+    x[200:206] += 0.3
+    x[300] = 0.4
+    x[-1] = 0.4
+    assert set(np.flatnonzero(states(x, "error_rate"))) == {300}
+    flat = lambda e, length: (np.ones_like(e), np.ones_like(e))
+    monkeypatch.setattr(implausible, "forward_backward", flat)
+    assert set(np.flatnonzero(states(x, "error_rate"))) > {101, 200, 205, 300, 399}
+    monkeypatch.setattr(implausible, "posterior", lambda before, e, after: np.eye(4)[np.zeros(e.shape[:-1], int)])
+    assert not states(x, "error_rate").any()
+
+
+def test_every_delivery_is_judged(spark):
+    x = series(300)
+    x[100] = 0.6
+    t = datetime(2025, 1, 1)
+    rows = [(i, "r", "s", "1h", t + timedelta(hours=i), float(v), 1 + i % 2, float(i % 5), 0) for i, v in enumerate(x)]
+    rows += [(900, "r", "s", "1h", t + timedelta(hours=50), 0.55, 1, 0.0, 0), (901, "r", "s", "1h", t + timedelta(hours=100), float(x[99]), 1, 0.0, 0), (902, "r", "s", "1h", t + timedelta(hours=60), 3.0, 1, float("inf"), 0)]
+    got = {(r.agg_id, r.metric, r.state) for r in flags(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(100, "error_rate", "spike"), (900, "error_rate", "spike"), (902, "error_rate", "out_of_range"), (902, "memory_rss_slope", "out_of_range")}
+
+
 def test_flags(spark):
     x = series(300)
     x[100] = 0.6
