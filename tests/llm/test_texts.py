@@ -72,3 +72,29 @@ def test_minified_suffix_counts_with_dense_text(spark):
     rows = [(1, "a/x.min.js", packed), (2, "a/y.bundle.js", strings), (3, "a/z.min.css", css), (4, "a/w.min.mts", packed), (5, "a/h.min.js", hand), (6, "a/i.bundle.js", "start();\nrun();\n"), (7, "a/x.js", packed), (8, "a/n.min.js", None)]
     files = spark.createDataFrame(rows, "file_id bigint, file_path string, content string")
     assert {r.file_id: list(r.reasons) for r in not_handwritten(files).collect()} == {k: ["minified"] for k in (1, 2, 3, 4)}
+
+
+def test_long_blocks_and_lines_are_read_whole(spark):
+    block = "```\n" + "x = {{ y }}\n" * 100_000 + "```\n"
+    texts = {1: block + REAL, 2: block + "Dear {{ name }}, welcome.", 3: "lorem ipsum dolor sit amet " * 20_000, 4: "```x\n" * 100_000, 5: "a" * 1_000_000, 6: '"“ <!-- ' * 100_000, 7: "the page you asked for " * 50_000}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    assert {r.doc_id: r.kind for r in residue(docs).collect()} == {2: "slot", 3: "no_text", 7: "no_text"}
+
+
+def test_sentences_join_the_template_they_are_most_similar_to():
+    from lintlake.llm.residue import Tree, masked, path_of
+
+    assert masked("HTTP 404: /a/b of host7 was 12 ms late") == "http 404: * of * was * ms late"
+    tree, ids = Tree(), []
+    for k, s in enumerate(["the page you asked for is gone from hosting now", "the page you asked for is lost from hosting now", "the page you edited must be in the tree now", "the page you asked for is gone"]):
+        words = masked(s).split()
+        ids.append(tree.add(path_of(words), words, 1, (1, s), k)[3])
+    assert ids == [0, 0, 2, 3]
+    assert [" ".join(t[0]) for ts in tree.leaves.values() for t in ts if t[1] == 2] == ["the page you asked for is * from hosting now"]
+
+
+def test_verdicts_pass_to_templates_in_the_company_of_residue(spark):
+    foot = "Our crew has been told about it."
+    rows = [(k, f"Error {500 + k % 5}\n\nThe requested page could not be found. {foot}") for k in range(20)] + [(100, f"{foot} Error 404"), (101, foot), (102, REAL)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id for r in residue(docs).collect()} == {*range(20), 100}
