@@ -57,18 +57,19 @@ NEUTRAL = r"^\W*(?:\(?code \d+\)?|ref(?:erence)?\W+[0-9a-f\-]+|request id\W+[0-9
 # Spellings of unresolved slots.
 SLOTS = [
     r"\{\{\s*[\w .]+?\s*\}\}", r"\{%\s*[\w .]+?\s*%\}", r"<%=?\s*[\w. ]+?\s*%>", r"\$\{[\w.]+\}", r"(?<![\w$])\$[A-Z][A-Z_]+\$(?!\w)", r"(?<![\w%])%[A-Z][A-Z_]+%(?![\w%])",
-    r"(?<![\w#])#[A-Z][A-Z_]+#(?!\w)", r"@@[A-Z_]+@@", r"(?<!\w)__[A-Z][A-Z_]*__(?!\w)", r"\[\[\s*[\w ]+?\s*\]\]", r"\[(?:your|insert|enter|add)\s[^\]\n]{1,60}\]", r"\[[A-Z][A-Z _]*\sHERE\]",
-    r"<(?:insert|your|enter|add)[ \-][^>\n]{1,60}>", r"\[object Object\]", r"(?<![\w{$])\{[a-z]+(?:[_ ][a-z]+)*\}(?!\})", r"(?<!\w)X{4,}(?!\w)", r"(?:(?<=Dear )|(?<=Hello )|(?<=Hi )|(?<=Hallo )|(?<=Bonjour ))(?:null|None|NaN|undefined)(?=\s*,)",
+    r"#(?<![\w#]#)[A-Z][A-Z_]+#(?!\w)", r"@@[A-Z_]+@@", r"(?<!\w)__[A-Z][A-Z_]*__(?!\w)", r"\[\[\s*[\w ]+?\s*\]\]", r"\[(?:your|insert|enter|add)\s[^\]\n]{1,60}\]", r"\[[A-Z][A-Z _]*\sHERE\]",
+    r"<(?:insert|your|enter|add)[ \-][^>\n]{1,60}>", r"\[object Object\]", r"(?<![\w{$])\{[a-z]+(?:[_ ][a-z]+)*\}(?!\})", r"(?<!\w)X{4,}(?!\w)", r"(?:Dear|Hello|Hi|Hallo|Bonjour) (?:null|None|NaN|undefined)(?=\s*,)",
     r"(?<![\w'-])(?<!word )(?<!value )(?<!literal )(?<!string )(?<!variable )(?<!is )(?<!are )(?<!an )(?<!term )(?<!palabra )(?<!mot )(?<!Wort )(?<!palavra )undefined(?![\w'-])",
 ]
 
 SLOT = [re.compile(p, re.A) for p in SLOTS]
 #: a text a slot matches in holds one of these, so most slots are never looked for
-SLOT_MARKS = ["{{", "{%", "<%", "${", "$", "%", "#", "@@", "__", "[[", "[", "HERE]", "<", "[object Object]", "{", "XXXX", ",", "undefined"]
+SLOT_MARKS = [*(("{{",), ("{%",), ("<%",), ("${",), ("$",), ("%",), ("#",), ("@@",), ("__",), ("[[",), ("[",), ("HERE]",), ("<",), ("[object Object]",), ("{",), ("XXXX",)), ("null", "None", "NaN", "undefined"), ("undefined",)]
 VERDICT = [re.compile(p, re.A) for p in RESIDUE.values()]
 IS_NEUTRAL = re.compile(NEUTRAL, re.A | re.I)
 FENCE = re.compile(r"^[ \t]*(?:```|~~~)(.*)$")
-STOPS = re.compile(r"\n+|(?<=[.!?])\s+", re.A)
+QUOTED = {"\"": re.compile(r"\"[^\"\n]*\""), "“": re.compile(r"“[^“”\n]*”"), "„": re.compile(r"„[^„“”\n]*[“”]"), "«": re.compile(r"«[^«»\n]*»")}
+BLANKS = re.compile("[ \\t\u00a0]{2,}|[\\t\u00a0]")
 LEAD = re.compile(r"^[\s>*\u2022\-]+", re.A)
 NO_SENTENCE = re.compile(r"#|$|\W+$", re.A)
 VARIABLE = re.compile(r"[\d_/@#$%{}\[\]<>]")
@@ -111,22 +112,26 @@ def running_text(text: str) -> str:
         text = _without("\n".join(kept), "```", "```", True, "\n")
     if "`" in text:
         text = re.sub(r"``?[^`\n]*``?", " _ ", text)
-    text = re.sub(r"\"[^\"\n]*\"|“[^“”\n]*”|„[^„“”\n]*[“”]|«[^«»\n]*»", " _ ", text)
+    for mark, quoted in QUOTED.items():
+        if mark in text:
+            text = quoted.sub(" _ ", text)
     text = _without(text, "<!--", "-->", False, " ")
-    return re.sub("[ \t\u00a0]+", " ", text)
+    return BLANKS.sub(" ", text)
 
 
 def has_slot(plain: str) -> bool:
     """Whether a slot is unresolved in a running text or a heading."""
-    return any(mark in plain and slot.search(plain) for slot, mark in zip(SLOT, SLOT_MARKS))
+    return any(slot.search(plain) for slot, marks in zip(SLOT, SLOT_MARKS) if any(m in plain for m in marks))
 
 
 def split_sentences(plain: str) -> list[str]:
     """The sentences of a running text, list marks and headings left out."""
     out = []
-    for part in STOPS.split(plain):
-        part = LEAD.sub("", part).strip(" ")
-        if not NO_SENTENCE.match(part):
+    for stop in ".!?":
+        plain = plain.replace(f"{stop} ", f"{stop}\n")
+    for part in plain.split("\n"):
+        part = LEAD.sub("", part).strip()
+        if part and not NO_SENTENCE.match(part):
             words = part.split(" ") if len(part) > 2 * LONGEST else ()
             out += [" ".join(words[k : k + LONGEST]) for k in range(0, len(words), LONGEST)] if len(words) > LONGEST else [part]
     return out
