@@ -1,28 +1,30 @@
 """Problem 4: find credentials embedded in source code and redact them.
 
-A trigram index over the texts, a chunk being one text, has for every chunk the trigrams that any detection
-expression requires (`trigrams.required` derives them; others can't narrow a search). The postings lie chunk by
-chunk, as bitmaps, so intersecting them is a mask and needs no shuffle. An expression is run only on chunks that its formula lets
-through, and its match counts when the value is literal: no reference, placeholder, mask, hash or name.
+The texts go into a stored trigram index (`trigram_index`): postings of trigrams over chunks of texts, block by block.
+What an expression requires of a text is derived from it (`trigrams.required`), the postings of those trigrams are
+intersected, and the expression is run only on texts that are let through. A match counts when the value is literal: no
+reference, placeholder, mask, hash or name. Expressions take time in proportion to a text, whatever it holds.
+
+Parameters of the method: a value has at least `LEAST` characters, and one in quotes after a mere name at least
+`LEAST_NAMED` unless it has digits or marks.
 
 Null or empty text: no row. Repeated rows: each its own result. Of matches that overlap the outermost stays.
-Positions are in code points from 1.
+Positions are in code points from 1. Key columns may have any names and types.
 """
 
 from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from lintlake.llm.trigrams import holds, leaves, required
-from lintlake.session import spread
+from lintlake.llm.trigram_index import TrigramIndex
+from lintlake.llm.trigrams import leaves, required
+
+LEAST = 4
+LEAST_NAMED = 8
 
 # Words that name a secret, the last word of a name deciding; and words that qualify `key`.
 SECRET_WORDS = "password passwd passphrase passwort kennwort contrasena contraseña contrasenya senha clave secret token jeton credential credentials pwd pw pass apikey authtoken accesstoken webhooksecret authorization auth".split()
@@ -31,34 +33,34 @@ MORE_NAMES = ("clave api", "mot de passe", "palabra de paso")
 NAME_PARTS = "passw|passphrase|pwd|pass|[_.-]pw|kennwort|contrase|senha|clave|secret|token|jeton|credential|auth|key"
 
 _VALUE = r"""(?:(?P<q>\\?["'`])(?P<c1>(?:(?!(?P=q))[^\n])*)(?P=q)|(?P<c2>[^\s'"`,;<>(){}\[\]]+)(?=(?P<after>.?)))"""
-NAMED = rf"""(?i)(?P<name>[\w.\-$]*(?:{NAME_PARTS})[\w.\-]*)(?P<nq>["'\]]*)[ \t]*(?P<op>=>|:=|[:=])[ \t]*{_VALUE}"""
+NAMED = rf"""(?i)(?<![\w.\-$])(?P<name>(?=[\w.\-$]*?(?:{NAME_PARTS}))[\w.\-$]++)(?P<nq>["'\]]*)[ \t]*(?P<op>=>|:=|[:=])[ \t]*{_VALUE}"""
 
 #: name -> expression; the credential is the group c, or c1 or c2. Those of `NAMED` kind are judged by name too.
 RULES: dict[str, str] = {
-    "private_key": r"(?P<c>-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:\s|\\n|\\r)+(?:[^-\n]+: [^\n]+\n)*[A-Za-z0-9+/=\s\\]{24,}(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)?)",
+    "private_key": r"(?P<c>-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:\s|\\n|\\r)+(?>[^-\n:]+: [^\n]+\n)*+[A-Za-z0-9+/=\s\\]{24,}(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)?)",
     "aws_key_id": r"(?<![A-Za-z0-9])(?P<c>(?:AKIA|ASIA|AGPA|AIDA|AROA)[A-Z0-9]{16})(?![A-Za-z0-9])",
     "forge_token": r"(?<![A-Za-z0-9])(?P<c>gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_\-]{16,})",
     "chat_token": r"(?<![A-Za-z0-9])(?P<c>xox[abeoprs]-[A-Za-z0-9\-]{16,}|xapp-[A-Za-z0-9\-]{16,})",
     "live_key": r"(?<![A-Za-z0-9])(?P<c>(?:sk|rk|pk)_live_[A-Za-z0-9]{12,}|whsec_[A-Za-z0-9]{16,})",
     "package_token": r"(?<![A-Za-z0-9])(?P<c>npm_[A-Za-z0-9]{24,}|pypi-[A-Za-z0-9_\-]{24,}|dckr_pat_[A-Za-z0-9_\-]{16,}|hf_[A-Za-z0-9]{24,})",
     "cloud_key": r"(?<![A-Za-z0-9])(?P<c>AIza[A-Za-z0-9_\-]{30,}|SG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}|sk-[A-Za-z0-9]{20,}|sk-(?:proj|ant)-[A-Za-z0-9_\-]{20,}|dop_v1_[a-f0-9]{40,})",
-    "signed_token": r"(?<![A-Za-z0-9])(?P<c>eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,})",
-    "url_user": r"[A-Za-z][A-Za-z0-9+.\-]*://[^\s:/@'\"<>]*:(?P<c>[^\s/'\"<>]+)@[A-Za-z0-9\[$]",
+    "signed_token": r"(?<![A-Za-z0-9_\-])(?>[A-Za-z0-9_\-]*?(?<![A-Za-z0-9])(?=eyJ))(?P<c>eyJ[A-Za-z0-9_\-]{8,}+\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,})",
+    "url_user": r"(?<=[A-Za-z0-9+.\-])://[^\s:/@'\"<>]*:(?P<c>[^\s/'\"<>]+)@[A-Za-z0-9\[$]",
     "connection": r"(?i)(?:password|pwd|accountkey|sharedaccesskey|sharedsecret)=(?P<c>[^;\s'\"<>]+)",
     "named": NAMED,
-    "element": rf"(?i)<(?P<name>[\w.\-:]*(?:{NAME_PARTS})[\w.\-]*)(?:\s[^<>]*)?>(?P<c1>[^<>\n]+)</",
-    "attribute": rf"""(?i)(?:key|name)=["'](?P<name>[\w.\-:]*(?:{NAME_PARTS})[\w.\-]*)["']\s+value=["'](?P<c1>[^"'\n]+)""",
+    "element": rf"(?i)<(?P<name>(?=[\w.\-:]*?(?:{NAME_PARTS}))[\w.\-:]++)(?:\s[^<>]*)?>(?P<c1>[^<>\n]+)</",
+    "attribute": rf"""(?i)(?:key|name)=["'](?P<name>(?=[\w.\-:]*?(?:{NAME_PARTS}))[\w.\-:]++)["']\s+value=["'](?P<c1>[^"'\n]+)""",
     "bearer": r"(?i)bearer\s+(?P<c>[A-Za-z0-9+/=_.~\-]{16,})",
     "basic": r"(?i)basic\s+(?P<b>[A-Za-z0-9+/]{8,}={0,2})",
     "docker_auth": r"\"auth\"\s*:\s*\"(?P<b>[A-Za-z0-9+/]{8,}={0,2})\"",
-    "cobol_move": rf"(?i)move\s+(?P<q>[\"'])(?P<c1>[^\"'\n]+)(?P=q)\s+to\s+(?P<name>[\w\-]*(?:{NAME_PARTS})[\w\-]*)",
+    "cobol_move": rf"(?i)move\s+(?P<q>[\"'])(?P<c1>[^\"'\n]+)(?P=q)\s+to\s+(?P<name>(?=[\w\-]*?(?:{NAME_PARTS}))[\w\-]++)",
     "secure_string": r"""(?i)convertto-securestring\s+(?:-string\s+)?["'](?P<c1>[^"'\n]+)["']""",
     "ssh_password": r"""sshpass\s+-p\s*["']?(?P<c1>[^\s"']+)""",
     "command_password": r"""(?:--password[= ]|--token[= ]|--secret[= ])["']?(?P<c2>[^\s"']+)""",
-    "command_user": r"""(?:curl(?:\s[^\n]*?)?\s(?:-u|--user)[= ]|--user[= ])["']?[^\s:"']+:(?P<c>[^\s"']+)""",
+    "command_user": r"""(?P<flag>(?<=\s)-u|--user)[= ]["']?[^\s:"']+:(?P<c>[^\s"']+)""",
     "signature": r"[?&](?:sig|signature|access_token|api_key|apikey|token|key)=(?P<c>[A-Za-z0-9%+/_\-]{16,})",
-    "spring_env": rf"(?i)\benv\s+(?P<name>\w*(?:{NAME_PARTS})\w*)\s+(?P<c2>[^\s\"'=]+)",
-    "default_call": rf"""(?i)(?:getenv|environ\.get|env)\(\s*["'](?P<name>\w*(?:{NAME_PARTS})\w*)["']\s*,\s*["'](?P<c1>[^"'\n]+)["']\s*\)""",
+    "spring_env": rf"(?i)\benv\s+(?P<name>(?=\w*?(?:{NAME_PARTS}))\w++)\s+(?P<c2>[^\s\"'=]+)",
+    "default_call": rf"""(?i)(?:getenv|environ\.get|env)\(\s*["'](?P<name>(?=\w*?(?:{NAME_PARTS}))\w++)["']\s*,\s*["'](?P<c1>[^"'\n]+)["']\s*\)""",
 }
 
 _PLACEHOLDER = re.compile(
@@ -71,12 +73,13 @@ _PLACEHOLDER = re.compile(
 _MASKED = re.compile(r"\*{3,}|…|•|x{6,}|X{6,}|\$\{|\{\{|\$\(|<[a-z_ \-]+>|\(hidden\)|redacted", re.I)
 _HASHED = re.compile(r"^(?:\$2[aby]\$|\$argon2|\$[156]\$|\{S?SHA|pbkdf2|scrypt|bcrypt|(?:md5|sha1|sha256|sha384|sha512)[-:$])", re.I)
 _WORD = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-zà-ÿ]+|[A-Z]+|\d+")
-_PIECES = re.compile(r"""["'](?:\s*(?:\+|\.|\|\||&)\s*(?:\\?\n\s*)?["'][^"'\n]*["'])+""")
+_PIECES = re.compile(r"""["'](?:\s*+(?:\+|\.|\|\||&)\s*+(?:\\\n\s*+)?["'][^"'\n]*["'])+""")
 
 
-@lru_cache(100_000)
+@lru_cache(10_000)
 def secret_name(name: str) -> bool:
-    """Whether the last word of a name, or its last two, mean a secret."""
+    """Whether the last word of a name, or its last two, mean a secret; only the end of a name is looked at."""
+    name = name[-200:]
     words = [w.lower() for w in _WORD.findall(name)]
     while words and (words[-1].isdigit() or words[-1] in ("value", "val", "plain", "literal")):
         words.pop()
@@ -95,7 +98,7 @@ def secret_name(name: str) -> bool:
 def literal_value(value: str, quoted: bool) -> bool:
     """Whether a value is a literal, not a reference, placeholder, mask or hash."""
     v = value.strip()
-    if len(v) < 4 or _PLACEHOLDER.match(v) or _MASKED.search(v) or _HASHED.match(v):
+    if len(v) < LEAST or _PLACEHOLDER.match(v) or _MASKED.search(v) or _HASHED.match(v):
         return False
     if len(set(v)) < 4 and len(v) > 5:
         return False
@@ -124,13 +127,15 @@ GROUPS = {name: tuple(g for g in ("c", "c1", "c2", "b") if g in p.groupindex) fo
 
 def spans(text: str, rules) -> list[tuple[int, int, str]]:
     """(start, end, rule) of the credentials in a text, from 0, by the rules named."""
-    found = []
+    found, curls = [], {}
     for rule in rules:
         for m in COMPILED[rule].finditer(text):
             group = next((g for g in GROUPS[rule] if m.group(g) is not None), None)
             if group is None:
                 continue
             value, (a, b) = m.group(group), m.span(group)
+            if rule == "command_user" and m.group("flag") == "-u" and not _by_curl(text, m.start(), curls):
+                continue
             if "name" in COMPILED[rule].groupindex and not secret_name(m.group("name")):
                 continue
             if group == "b":
@@ -142,7 +147,7 @@ def spans(text: str, rules) -> list[tuple[int, int, str]]:
                 ok = after not in ("(", "[") and literal_value(value, False)
             else:
                 ok = literal_value(value, True)
-            if group == "c1" and rule == "named" and len(value) < 8 and not re.search(r"\d|[^\w]", value):
+            if group == "c1" and rule == "named" and len(value) < LEAST_NAMED and not re.search(r"\d|[^\w]", value):
                 ok = False
             if not ok:
                 continue
@@ -169,69 +174,46 @@ def redact(text: str, places: list[tuple[int, int, str]], mark: str = "*") -> st
     return "".join(out)
 
 
-WORD = 60
+def _by_curl(text: str, at: int, lines: dict[int, int]) -> bool:
+    """Whether `curl` stands before a place in its line; every line is searched once."""
+    start = text.rfind("\n", 0, at) + 1
+    if start not in lines:
+        found = re.compile(r"curl\s").search(text, start, at)
+        if not found:
+            return False
+        lines[start] = found.start()
+    return lines[start] < at
 
 
-def index(texts: DataFrame, column: str) -> tuple[DataFrame, dict[str, tuple[str, int]]]:
-    """The chunks with their postings as bitmaps, `WORD` required trigrams to a column; and each trigram's column and bit."""
-    wanted = sorted(set().union(*[leaves(required(p)) for p in RULES.values()]))
-    words = [wanted[i : i + WORD] for i in range(0, len(wanted), WORD)]
-    chunks = texts.withColumn("_low", F.lower(F.col(column)))
-    for j, grams in enumerate(words):
-        held = F.lit(0).cast("bigint")
-        for k, t in enumerate(grams):
-            held = held.bitwiseOR(F.when(F.contains(F.col("_low"), F.lit(t)), F.lit(1 << k)).otherwise(F.lit(0)))
-        chunks = chunks.withColumn(f"_grams{j}", held)
-    return chunks.drop("_low"), {t: (f"_grams{j}", k) for j, grams in enumerate(words) for k, t in enumerate(grams)}
+def credentials(texts: DataFrame, keys: list[str], column: str, with_text: bool = False) -> DataFrame:
+    """A row per credential: the key columns, start_pos (from 1), end_pos (past its end), rule_name.
 
+    With `with_text` a row per text that has any: the key columns, `places`, an array of those, and `redacted`.
+    """
+    index = TrigramIndex.scratch(texts.sparkSession)
+    index.add(texts, keys, column, VOCABULARY)
+    return search(index, keys, with_text)
 
-FORMULAS = {name: required(p) for name, p in RULES.items()}
 
+def search(index: TrigramIndex, keys: list[str], with_text: bool = False) -> DataFrame:
+    """`credentials` of all texts of an index."""
 
-def let_through(batch: pd.DataFrame, bit: dict[str, tuple[str, int]]) -> list[list[str]]:
-    """Per chunk the expressions whose formulas its postings meet."""
-    words = {name: batch[name].to_numpy(np.int64) for name in {name for name, _ in bit.values()}}
-    met = {rule: holds(f, bit, words) for rule, f in FORMULAS.items()}
-    out: list[list[str]] = [[] for _ in range(len(batch))]
-    for rule, rows in met.items():
-        for i in np.flatnonzero(rows):
-            out[i].append(rule)
-    return out
+    def verify(text: str, rules: list[str]) -> list[tuple]:
+        places = spans(text, rules)
+        if with_text:
+            return [([(a + 1, b + 1, rule) for a, b, rule in places], redact(text, places))] if places else []
+        return [(a + 1, b + 1, rule) for a, b, rule in places]
+
+    schema = "places array<struct<start_pos:int,end_pos:int,rule_name:string>>, redacted string" if with_text else "start_pos int, end_pos int, rule_name string"
+    return index.search(FORMULAS, verify, keys, schema)
 
 
 def candidates(texts: DataFrame, column: str) -> DataFrame:
     """Texts that some expression may match, with `rules`, the names of those expressions."""
-    chunks, bit = index(texts.where(F.length(column) > 0), column)
-    schema = ", ".join(f"`{n}` {t}" for n, t in texts.dtypes) + ", rules array<string>"
-
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = batch[texts_columns].copy()
-            out["rules"] = let_through(batch, bit)
-            yield out[out["rules"].map(len) > 0]
-
-    texts_columns = texts.columns
-    return chunks.mapInPandas(look, schema)
+    index = TrigramIndex.scratch(texts.sparkSession)
+    index.add(texts, texts.columns, column, VOCABULARY)
+    return index.search(FORMULAS, lambda text, rules: [(rules,)], texts.columns, "rules array<string>")
 
 
-def credentials(texts: DataFrame, keys: list[str], column: str, with_text: bool = False) -> DataFrame:
-    """A row per credential: the key columns, start_pos (from 1), end_pos (past its end), rule_name; the redacted text if asked for."""
-    chunks, bit = index(spread(texts.select(*keys, F.col(column).alias("_text"))).where(F.length("_text") > 0), "_text")
-    kinds = dict(chunks.dtypes)
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", start_pos int, end_pos int, rule_name string" + (", redacted string" if with_text else "")
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for i, rules in enumerate(let_through(batch, bit)):
-                if not rules:
-                    continue
-                text = batch["_text"].iat[i]
-                places = spans(text, rules)
-                if places:
-                    tail = (redact(text, places),) if with_text else ()
-                    key = [batch[k].iat[i] for k in keys]
-                    rows.extend((*key, a + 1, b + 1, rule, *tail) for a, b, rule in places)
-            yield pd.DataFrame(rows, columns=[*keys, "start_pos", "end_pos", "rule_name", *(["redacted"] if with_text else [])])
-
-    return chunks.mapInPandas(verify, schema)
+FORMULAS = {name: required(p) for name, p in RULES.items()}
+VOCABULARY = set().union(*[leaves(f) for f in FORMULAS.values()])

@@ -1,7 +1,8 @@
 """Required trigrams of a regular expression, as a formula over a trigram index.
 
 A formula is True (nothing required), a three-letter string, or ("and" | "or", parts). It holds for every text the
-expression can match, in lower case, so a text without it needs no look by the expression.
+expression can match, in lower case, so a text without it needs no look by the expression. Literals beyond ASCII, whose
+case has many forms, require nothing.
 """
 
 from __future__ import annotations
@@ -43,8 +44,10 @@ def _expand(node):
     """(exact strings the node stands for or None, formula) of one parsed node."""
     op, arg = node
     if op is c.LITERAL:
-        return {chr(arg).lower()}, True
+        return ({chr(arg).lower()}, True) if arg < 128 else (None, True)
     if op is c.IN:
+        if any(o is c.LITERAL and a > 127 for o, a in arg):
+            return None, True
         letters = {chr(a).lower() for o, a in arg if o is c.LITERAL}
         if len(arg) <= 8 and all(o is c.LITERAL for o, _ in arg):
             return letters, True
@@ -69,6 +72,9 @@ def _expand(node):
         if least == 0:
             return None, True
         return None, _any_of(exact) if exact is not None else formula
+    if op is c.ASSERT and arg[0] == 1:
+        exact, formula = _sequence(arg[1])
+        return None, _any_of(exact) if exact is not None else formula
     if op is c.AT or op in (c.ASSERT, c.ASSERT_NOT):
         return {""}, True
     return None, True
@@ -110,24 +116,14 @@ def leaves(formula) -> set[str]:
     return set().union(*[leaves(p) for p in formula[1]])
 
 
-def holds(formula, bit: dict[str, tuple[str, int]], words: dict[str, np.ndarray]) -> np.ndarray:
-    """The formula over postings kept as bitmaps, for many chunks at once: `bit` gives the word and the bit of every trigram.
-
-    Trigrams that are required together and lie in one word are one mask.
-    """
+def holds(formula, held: dict[str, np.ndarray], n: int) -> np.ndarray:
+    """The formula over n texts; `held` says of a trigram which texts have it, none where it is not listed."""
     if formula is True:
-        return np.ones(len(next(iter(words.values()))), bool)
+        return np.ones(n, bool)
     if isinstance(formula, str):
-        formula = ("and", (formula,))
-    masks: dict[str, int] = {}
-    parts = []
-    for part in formula[1]:
-        if isinstance(part, str):
-            name, k = bit[part]
-            masks[name] = masks.get(name, 0) | 1 << k
-        else:
-            parts.append(holds(part, bit, words))
-    for name, mask in masks.items():
-        met = words[name] & np.int64(mask)
-        parts.append(met == mask if formula[0] == "and" else met != 0)
-    return np.logical_and.reduce(parts) if formula[0] == "and" else np.logical_or.reduce(parts)
+        return held[formula] if formula in held else np.zeros(n, bool)
+    out = holds(formula[1][0], held, n)
+    for part in formula[1][1:]:
+        more = holds(part, held, n)
+        out = out & more if formula[0] == "and" else out | more
+    return out

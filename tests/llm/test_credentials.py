@@ -1,7 +1,13 @@
+import time
+
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from lintlake.llm.credentials import RULES, candidates, credentials, redact, secret_name, spans
-from lintlake.llm.trigrams import required
+from lintlake.llm.credentials import RULES, VOCABULARY, candidates, credentials, redact, search, secret_name, spans
+from lintlake.llm.trigram_index import TrigramIndex, _bytes, postings
+from lintlake.llm.trigrams import holds, required
+
 
 HITS = [
     ('password = "QuietNimbus8946"', "QuietNimbus8946"),
@@ -76,3 +82,33 @@ def test_required_trigrams():
     assert required("x?") is True
     assert required("(?:abc|xyz)\\d") == ("or", ("abc", "xyz")) or required("(?:abc|xyz)\\d") == ("or", ("xyz", "abc"))
     assert secret_name("WS-ROW-PASSWORD") and secret_name("masterUserPassword") and not secret_name("token_count") and not secret_name("key")
+
+
+@pytest.mark.parametrize("text", ["0123456789abcdef" * 62_500 + " key", "key_" * 250_000, "token" * 200_000, 'key="' * 100_000, "eyJ_" * 200_000, "curl -u " * 100_000, "://a:" * 100_000, "-----BEGIN PRIVATE KEY-----\n" + "a: b: c\n" * 50_000, '"a"' + "\n" * 100_000, "<key " * 100_000])
+def test_expressions_take_linear_time(text):
+    start = time.perf_counter()
+    spans(text, RULES)
+    assert time.perf_counter() - start < 10
+
+
+def test_an_index_serves_later_runs_and_other_expressions(spark, tmp_path):
+    at = str(tmp_path / "index")
+    old = spark.createDataFrame([(1, HITS[0][0]), (2, "nothing"), (3, "x" * 40_000 + "zebra\n" + HITS[2][0])], "id bigint, block string")
+    TrigramIndex(spark, at).add(old, ["id"], "block", VOCABULARY)
+    later = TrigramIndex(spark, at)
+    later.add(spark.createDataFrame([(4, HITS[3][0]), (5, None), (6, "")], "id bigint, block string"), ["id"], "block", VOCABULARY)
+    assert {r.id for r in search(later, ["id"]).collect()} == {1, 3, 4}
+    zebras = later.search({"zebra": required("zebra")}, lambda text, names: [(text.index("zebra"),)], ["id"], "place int")
+    assert [tuple(r) for r in zebras.collect()] == [(3, 40_000)]
+    rows = {r.id: r for r in search(later, ["id"], True).collect()}
+    assert set(rows) == {1, 3, 4} and len(rows[3].redacted) == 40_006 + len(HITS[2][0])
+
+
+def test_formulas_hold_by_postings():
+    texts = pa.array(["abcd x", "abc", "", "xabcxbcd", "é abcd"])
+    ends, data = _bytes(texts)
+    got = postings(ends, data, ("abc", "bcd", "zzz"))
+    assert {g: c.tolist() for g, c in got.items()} == {"abc": [0, 1, 3, 4], "bcd": [0, 3, 4]}
+    held = {g: np.isin(np.arange(5), c) for g, c in got.items()}
+    assert holds(required("abcd"), held, 5).tolist() == [True, False, False, True, True]
+    assert required("(?=.*abc)x+y") == "abc" and required("éabé") is True
