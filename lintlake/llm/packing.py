@@ -4,7 +4,8 @@ Karmarkar-Karp multiway differencing. Documents are dealt by hash into blocks of
 grows with the data. In a block the windows number at first as many as its tokens need; every item is a partial
 partition with one filled window, the two partial partitions with the largest spreads are merged, the fullest window of
 one with the emptiest of the other, until one is left: windows of near-equal sums. While its fullest window exceeds the
-capacity, the number of windows rises and the block is partitioned again.
+capacity, the number of windows rises and the block is partitioned again; it starts at what items of that size need at
+least and is found in a logarithmic number of rounds.
 
 A document longer than the capacity is split into full pieces, each a container by itself, and a rest that is an item;
 no other document is split. Null and empty texts are items of no tokens and lie in a container too. Ties are broken by
@@ -27,38 +28,37 @@ BLOCK = 4096
 
 
 def difference(sizes: np.ndarray, k: int) -> np.ndarray:
-    """The window of every item when `sizes` are partitioned into k windows."""
+    """The window of every item when `sizes` are partitioned into k windows.
+
+    A partial partition is kept as its windows that hold something, by falling sums, so all of them together take no
+    more room than the items.
+    """
     n = len(sizes)
     if k <= 1 or n == 0:
         return np.zeros(n, int)
     left, right = np.full(2 * n, -1), np.full(2 * n, -1)
-    made, heap = n, []
-    for i in np.argsort(-sizes, kind="stable"):
-        sums, held = np.zeros(k, np.int64), np.full(k, -1)
-        sums[0], held[0] = sizes[i], i
-        heap.append((-int(sizes[i]), len(heap), sums, held))
+    made = n
+    heap = [(-int(sizes[i]), rank, sizes[i : i + 1].astype(np.int64), np.array([i])) for rank, i in enumerate(np.argsort(-sizes, kind="stable"))]
     count = len(heap)
     heapq.heapify(heap)
     while len(heap) > 1:
         _, _, a, x = heapq.heappop(heap)
         _, _, b, y = heapq.heappop(heap)
-        y = y[::-1]
-        sums = a + b[::-1]
-        both = (x >= 0) & (y >= 0)
-        new = int(both.sum())
-        held = np.maximum(x, y)
-        if new:
-            ids = np.arange(made, made + new)
-            left[ids], right[ids] = x[both], y[both]
-            held[both] = ids
-            made += new
+        both = max(0, len(a) + len(b) - k)
+        alone, other = len(a) - both, len(b) - both
+        sums = np.concatenate([a[:alone], a[alone:] + b[other:][::-1], b[:other]])
+        held = np.concatenate([x[:alone], np.arange(made, made + both), y[:other]])
+        if both:
+            left[made : made + both], right[made : made + both] = x[alone:], y[other:][::-1]
+            made += both
         order = np.argsort(-sums, kind="stable")
         sums, held = sums[order], held[order]
-        sums = sums - sums[-1]
+        if len(sums) == k:
+            sums -= sums[-1]
         heapq.heappush(heap, (-int(sums[0]), count, sums, held))
         count += 1
     window = np.zeros(n, int)
-    stack = [(int(node), w) for w, node in enumerate(heap[0][3]) if node >= 0]
+    stack = [(int(node), w) for w, node in enumerate(heap[0][3])]
     while stack:
         node, w = stack.pop()
         if node < n:
@@ -68,14 +68,34 @@ def difference(sizes: np.ndarray, k: int) -> np.ndarray:
     return window
 
 
+def least_windows(sizes: np.ndarray, capacity: int) -> int:
+    """Windows that are needed at least: by the sum, and as at most d items above capacity / (d + 1) fit into one."""
+    big = [-(-int((sizes * (d + 1) > capacity).sum()) // d) for d in range(1, 17)]
+    return max(1, -(-int(sizes.sum()) // capacity), *big)
+
+
 def windows(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
-    """Windows that no sum exceeds, as few as differencing finds."""
-    k = max(1, -(-int(sizes.sum()) // capacity))
+    """Windows that no sum exceeds, as few as differencing finds.
+
+    Their number rises from the least possible, by what is too much and ever faster, and then falls by halves to the
+    last that did.
+    """
+    k, short, step = least_windows(sizes, capacity), 0, 1
     while True:
-        window = difference(sizes, k)
-        if len(sizes) == 0 or np.bincount(window, weights=sizes).max() <= capacity:
-            return window
-        k += 1
+        found = difference(sizes, k)
+        over = np.maximum(np.bincount(found, weights=sizes, minlength=1) - capacity, 0).sum() if len(sizes) else 0
+        if not over:
+            break
+        short, k = k, min(len(sizes), k + max(step, -(-int(over) // capacity)))
+        step *= 2
+    while short and k - short > 1:
+        middle = (short + k) // 2
+        window = difference(sizes, middle)
+        if np.bincount(window, weights=sizes).max() <= capacity:
+            found, k = window, middle
+        else:
+            short = middle
+    return found
 
 
 def pieces(sized: DataFrame, capacity: int = CAPACITY) -> DataFrame:

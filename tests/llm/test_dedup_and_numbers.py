@@ -1,5 +1,6 @@
 import collections
 import random
+import time
 from datetime import date
 
 import numpy as np
@@ -126,3 +127,11 @@ def test_mix(spark):
     again, _ = mix(sized, targets)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, rows))
     assert mix(sized.limit(0), targets)[0].count() == 0 and mix(sized, targets.limit(0))[0].count() == 0
+
+
+@pytest.mark.parametrize("size,fit_in_one", [(1100, 1), (700, 2), (520, 3), (2047, 1), (1, 2048)])
+def test_a_whole_block_of_equal_items(size, fit_in_one):
+    start = time.perf_counter()
+    w = windows(np.full(4096, size))
+    assert time.perf_counter() - start < 20
+    assert np.bincount(w).max() * size <= 2048 and w.max() + 1 <= 1.02 * -(-4096 // fit_in_one) + 1
