@@ -107,6 +107,14 @@ def p7_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return not_handwritten(table(spark, sf_dir, "source_files")).select("file_id", F.concat_ws(", ", F.array_sort("reasons")).alias("reasons"))
 
 
+def p7_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many files each kind of evidence settles: notices, paths, measures of the text, copies."""
+    from lintlake.llm.handwritten import not_handwritten
+
+    found = not_handwritten(table(spark, sf_dir, "source_files")).select(F.explode(F.arrays_zip("reasons", "evidence")).alias("r"))
+    return found.groupBy(F.col("r.reasons").alias("reason"), F.col("r.evidence").alias("evidence")).agg(F.count(F.lit(1)).alias("files"))
+
+
 def _sized(spark: SparkSession, sf_dir: str, keys: list[str]) -> DataFrame:
     from lintlake.llm.tokens import token_counts
 
@@ -158,6 +166,7 @@ QUERIES = {
     "p5_found": p5_found,
     "p7_found": p7_found,
     "p7_reasons": p7_reasons,
+    "p7_evidence": p7_evidence,
     "p8_containers": p8_containers,
     "p8_report": p8_report,
     "p9_selection": p9_selection,

@@ -1,3 +1,7 @@
+import time
+
+import numpy as np
+
 from lintlake.llm.handwritten import measures, not_handwritten, notices, path_rules
 from lintlake.llm.residue import residue
 
@@ -98,3 +102,35 @@ def test_verdicts_pass_to_templates_in_the_company_of_residue(spark):
     rows = [(k, f"Error {500 + k % 5}\n\nThe requested page could not be found. {foot}") for k in range(20)] + [(100, f"{foot} Error 404"), (101, foot), (102, REAL)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert {r.doc_id for r in residue(docs).collect()} == {*range(20), 100}
+
+
+def test_rows_of_long_numbers_and_headers():
+    from lintlake.llm.handwritten import SQL_ROW, header_end
+
+    start = time.perf_counter()
+    assert not SQL_ROW.match(f"({'1' * 4000}, NOW());") and not SQL_ROW.match("(" + "'', " * 4000 + "x);")
+    assert SQL_ROW.match("INSERT INTO t (a, b) VALUES (1.5, 'it''s', NULL),")
+    assert time.perf_counter() - start < 2
+    head = "/* a\n  b\n*/\npackage x;\n\n# c\n"
+    assert header_end(head + "code()\n# later\n") == len(head)
+    long_head = "# line\n" * 400 + "# Permission is hereby granted to all\n"
+    assert notices(long_head + "x = 1\n") == {"third_party"} and notices("x = 1\n" + long_head) == set()
+
+
+def test_a_generated_suffix_counts_with_a_weak_notice(spark):
+    text = "# this file is the part of the client that was generated from the schema by our build\ndef run(a):\n    return a\n"
+    rows = [(1, "a/x_pb2.py", text), (2, "a/x.py", text), (3, "a/y_pb2.py", "def run(a):\n    return a\n")]
+    files = spark.createDataFrame(rows, "file_id bigint, file_path string, content string")
+    assert {(r.file_id, *r.reasons, *r.evidence) for r in not_handwritten(files).collect()} == {(1, "generated", "path and notice")}
+
+
+def test_minhash_finds_similar_sets():
+    """Of pairs of similarity 0.8 at least 0.98 share a band; 0.998 are to be expected."""
+    from lintlake.llm.handwritten import _bands
+
+    rng, met = np.random.default_rng(1), 0
+    for _ in range(200):
+        a = rng.choice(2**31 - 1, 360, replace=False).astype(np.int32)
+        b = np.concatenate([a[:320], rng.choice(2**31 - 1, 40, replace=False).astype(np.int32)])
+        met += bool(set(_bands(np.unique(a))) & set(_bands(np.unique(b))))
+    assert met >= 196
