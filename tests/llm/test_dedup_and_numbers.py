@@ -6,7 +6,7 @@ from datetime import date
 import numpy as np
 import pytest
 
-from lintlake.llm.incremental_dedup import PivotIndex, fingerprints, repeats
+from lintlake.llm.incremental_dedup import PivotIndex, fingerprints, repeats, with_pivot_distances
 from lintlake.llm.mixing import fit, mix, shares
 from lintlake.llm.packing import containers, report, windows
 from lintlake.llm.percentiles import combine, from_counts, value_counts
@@ -135,3 +135,31 @@ def test_a_whole_block_of_equal_items(size, fit_in_one):
     w = windows(np.full(4096, size))
     assert time.perf_counter() - start < 20
     assert np.bincount(w).max() * size <= 2048 and w.max() + 1 <= 1.02 * -(-4096 // fit_in_one) + 1
+
+
+def test_an_index_outlives_its_session_and_reads_touched_ranges(spark, tmp_path):
+    at = str(tmp_path / "i")
+    old = [(i, 1, f"o/r{i % 40}", f"a{i}.py", 5, "T", "S1", "x 'f'", "c") for i in range(400)]
+    assert repeats(spark.createDataFrame(old, ISSUE), index=at).count() == 0
+    new = spark.createDataFrame([(1000 + i, 2, f"o/r{i}", f"./a{i}.py", 7, "T", None, "x 'F'", "c") for i in range(2)], ISSUE)
+    assert {(r.issue_id_a, r.issue_id_b) for r in repeats(new, index=at).collect()} == {(0, 1000), (1, 1001)}
+    index = PivotIndex(spark.newSession(), at)
+    read = index.history(fingerprints(new), "2")
+    assert "f" not in read.columns and "message" not in read.columns
+    assert 2 <= read.count() < 200 and index.resolved().count() == 402
+    index.add_batch(fingerprints(new).drop("batch_id"), "2")
+    assert index.resolved().count() == 402
+
+
+def test_pivots_prune_more_than_they_decide(spark):
+    """Points that both pivots take for near need not be near: the true distance is what verifies."""
+    rows = [(0, 10**6, 5), (0, 10**6 + 2, 3)]
+    a, b = with_pivot_distances(spark.createDataFrame(rows, "k1 bigint, k2 bigint, dist int")).collect()
+    assert a.d1 == b.d1 and a.d2 == b.d2 and abs(a.k2 - b.k2) + abs(a.dist - b.dist) == 4
+
+
+def test_long_chains_of_lines_are_walked_once(spark):
+    df = spark.createDataFrame([(i, 1, "r", "a.py", i, "T", None, "'f'", "c") for i in range(30_000)], ISSUE)
+    start = time.perf_counter()
+    assert repeats(df).count() == 30_000 - 7500
+    assert time.perf_counter() - start < 60
