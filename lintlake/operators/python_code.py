@@ -25,49 +25,62 @@ TYPES = {
 }
 FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try)
+# Methods that change a collection, makers and closers of sessions.
 MUTATORS = "append add update extend insert pop setdefault clear".split()
 SESSIONS = "Session ClientSession connect Connection Client create_engine socket open_connection".split()
 CLOSERS = "close disconnect shutdown dispose".split()
 
 
-def _nesting(node: ast.AST, depth: int = 0) -> int:
-    best = depth
-    for child in ast.iter_child_nodes(node):
-        best = max(best, _nesting(child, depth + isinstance(child, BRANCHES)))
-    return best
+def _plain_children(node: ast.AST) -> list[ast.AST]:
+    return [c for c in ast.iter_child_nodes(node) if not isinstance(c, (ast.expr_context, ast.operator, ast.cmpop, ast.boolop, ast.unaryop))]
 
 
 def tree_rows(path: str, text: str) -> list[tuple]:
-    """Nodes of one file in pre-order."""
+    """Nodes of one file in pre-order; the tree is walked with a stack, so its depth is no limit."""
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return [(path, 0, None, 0, 0, 0, "UNKNOWN", "UNKNOWN", None, 1, text.count("\n") + 1, None, None, None)]
-    rows: list = []
-
-    def visit(node: ast.AST, parent: int | None, depth: int) -> None:
-        me = len(rows)
-        rows.append(None)
-        for child in ast.iter_child_nodes(node):
-            if not isinstance(child, (ast.expr_context, ast.operator, ast.cmpop, ast.boolop, ast.unaryop)):
-                visit(child, me, depth + 1)
-        raw = type(node).__name__
-        fn = isinstance(node, FUNCTIONS)
-        complexity = 1 + sum(isinstance(x, BRANCHES) for x in ast.walk(node)) if fn else None
+    nodes: list[tuple] = []
+    stack = [(tree, None, 0)]
+    while stack:
+        node, parent, depth = stack.pop()
+        stack += [(c, len(nodes), depth + 1) for c in reversed(_plain_children(node))]
+        nodes.append((node, parent, depth))
+    # From the last node to the first every subtree is complete: its size, its branches, and how deep they are nested.
+    size, branches, nested = [1] * len(nodes), [0] * len(nodes), [0] * len(nodes)
+    for me in range(len(nodes) - 1, 0, -1):
+        node, parent, _ = nodes[me]
+        own = isinstance(node, BRANCHES)
+        size[parent] += size[me]
+        branches[parent] += branches[me] + own
+        nested[parent] = max(nested[parent], nested[me] + own)
+    last, rows = text.count("\n") + 1, []
+    for me, (node, parent, depth) in enumerate(nodes):
+        raw, fn, name = type(node).__name__, isinstance(node, FUNCTIONS), getattr(node, "name", None)
         a = node.args if fn else None
-        rows[me] = (
-            path, me, parent, me, len(rows) - 1, depth, TYPES.get(raw, "OTHER"), raw, getattr(node, "name", None) if isinstance(getattr(node, "name", None), str) else None, getattr(node, "lineno", 1), getattr(node, "end_lineno", None) or text.count("\n") + 1,
-            complexity, _nesting(node) if fn else None, len(a.posonlyargs + a.args + a.kwonlyargs) + bool(a.vararg) + bool(a.kwarg) if fn else None,
-        )
-
-    visit(tree, None, 0)
+        rows.append((
+            path, me, parent, me, me + size[me] - 1, depth, TYPES.get(raw, "OTHER"), raw, name if isinstance(name, str) else None, getattr(node, "lineno", 1), getattr(node, "end_lineno", None) or last,
+            1 + branches[me] if fn else None, nested[me] if fn else None, len(a.posonlyargs + a.args + a.kwonlyargs) + bool(a.vararg) + bool(a.kwarg) if fn else None,
+        ))
     return rows
 
 
 def _name(node: ast.AST) -> str:
-    if isinstance(node, ast.Attribute):
-        return f"{_name(node.value)}.{node.attr}"
-    return node.id if isinstance(node, ast.Name) else ""
+    parts = []
+    while isinstance(node, ast.Attribute):
+        parts.append(node.attr)
+        node = node.value
+    parts.append(node.id if isinstance(node, ast.Name) else "")
+    return ".".join(reversed(parts))
+
+
+def _text(node: ast.AST) -> str:
+    """The source of a node; of one too deeply nested to be written, nothing."""
+    try:
+        return ast.unparse(node)
+    except RecursionError:
+        return ""
 
 
 def _trivial(stmt: ast.stmt) -> bool:
@@ -75,7 +88,7 @@ def _trivial(stmt: ast.stmt) -> bool:
         return True
     if isinstance(stmt, ast.Return):
         v = stmt.value
-        return v is None or isinstance(v, ast.Constant) and not v.value or isinstance(v, (ast.List, ast.Dict)) and not ast.unparse(v).strip("[]{}")
+        return v is None or isinstance(v, ast.Constant) and not v.value or isinstance(v, ast.List) and not v.elts or isinstance(v, ast.Dict) and not v.keys
     return False
 
 
@@ -88,7 +101,7 @@ def fact_rows(path: str, text: str) -> list[tuple]:
     """Facts of one file: imports, calls to eval and pickle, asserts, handlers, resources, mutable globals, attributes."""
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
     out: list = []
     add = lambda fact, name, node, detail, within: out.append((path, fact, name, getattr(node, "lineno", 1), detail, within))
@@ -99,17 +112,19 @@ def fact_rows(path: str, text: str) -> list[tuple]:
         for t in (s.targets if isinstance(s, ast.Assign) else [s.target])
         if isinstance(t, ast.Name) and (isinstance(s.value, (ast.Dict, ast.List, ast.Set)) or isinstance(s.value, ast.Call) and _name(s.value.func).split(".")[-1] in ("dict", "list", "set", "defaultdict", "OrderedDict"))
     }
-    has_threads = "threading" in text and any(isinstance(n, (ast.Import, ast.ImportFrom)) and "threading" in ast.unparse(n) for n in ast.walk(tree))
+    has_threads = "threading" in text and any(isinstance(n, (ast.Import, ast.ImportFrom)) and "threading" in _text(n) for n in ast.walk(tree))
     closed_attrs = {_name(n.func.value) for n in ast.walk(tree) if isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and n.func.attr in CLOSERS}
 
-    def visit(node: ast.AST, within: int, guarded: bool, fn: ast.AST | None) -> None:
+    stack: list[tuple] = [(tree, 0, False, None)]
+    while stack:
+        node, within, guarded, fn = stack.pop()
         if isinstance(node, ast.Import) and not guarded:
             for a in node.names:
                 add("import", a.name.split(".")[0], node, a.name, within)
         elif isinstance(node, ast.ImportFrom) and not guarded and not node.level and node.module:
             add("import", node.module.split(".")[0], node, node.module, within)
         elif isinstance(node, ast.Assert):
-            add("assert", "", node, ast.unparse(node.test)[:200], within)
+            add("assert", "", node, _text(node.test), within)
         elif isinstance(node, ast.ExceptHandler):
             if node.type is None and not (len(node.body) == 1 and isinstance(node.body[0], ast.Raise) and node.body[0].exc is None):
                 add("bare_except", "", node, "", within)
@@ -131,7 +146,7 @@ def fact_rows(path: str, text: str) -> list[tuple]:
         elif isinstance(node, ast.Assign) and within and isinstance(node.value, ast.Call) and _name(node.value.func).split(".")[-1] in SESSIONS:
             for t in node.targets:
                 target = _name(t)
-                body = ast.unparse(fn)
+                body = _text(fn)
                 held = target in closed_attrs if "." in target else any(f"{target}.{c}(" in body for c in CLOSERS) or f"with {target}" in body
                 if target and not held:
                     add("unclosed", target, node, _name(node.value.func), within)
@@ -146,18 +161,15 @@ def fact_rows(path: str, text: str) -> list[tuple]:
             within, fn = within + 1, node
         if isinstance(node, ast.ClassDef):
             _attributes(path, node, out)
-        skip = guarded or isinstance(node, ast.Try) and _guarded(node) or isinstance(node, ast.With) and "suppress(ImportError" in ast.unparse(node.items[0])
-        for child in ast.iter_child_nodes(node):
-            type_only = isinstance(node, ast.If) and "TYPE_CHECKING" in ast.unparse(node.test) and child in node.body
-            visit(child, within, skip or type_only, fn)
-
-    visit(tree, 0, False, None)
+        skip = guarded or isinstance(node, ast.Try) and _guarded(node) or isinstance(node, ast.With) and "suppress(ImportError" in _text(node.items[0])
+        type_only = node.body if isinstance(node, ast.If) and "TYPE_CHECKING" in _text(node.test) else []
+        stack += [(c, within, skip or any(c is x for x in type_only), fn) for c in reversed(list(ast.iter_child_nodes(node)))]
     return out
 
 
 def _attributes(path: str, cls: ast.ClassDef, out: list) -> None:
     """Attributes read on self, never assigned, and close to one that __init__ assigns."""
-    text = ast.unparse(cls)
+    text = _text(cls)
     if any(x in text for x in ("__getattr__", "__getattribute__", "setattr(", "getattr(", "self.__dict__")):
         return
     mine = {m.name for m in cls.body if isinstance(m, FUNCTIONS)} | {t.id for s in cls.body if isinstance(s, (ast.Assign, ast.AnnAssign)) for t in (s.targets if isinstance(s, ast.Assign) else [s.target]) if isinstance(t, ast.Name)}
@@ -237,28 +249,28 @@ def assertion_rows(path: str, text: str) -> list[tuple]:
     """Assertions of one test file, as calls with an expected value."""
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
     out: list = []
 
     def add(fn: str, node: ast.AST, call: ast.AST, expected: str, kind: str) -> None:
         if isinstance(call, ast.Call):
-            args = [ast.unparse(a) for a in call.args] + [ast.unparse(k) for k in call.keywords]
-            out.append((path, fn, node.lineno, ast.unparse(call.func), ", ".join(args), expected, kind))
+            args = [_text(a) for a in call.args] + [_text(k) for k in call.keywords]
+            out.append((path, fn, node.lineno, _text(call.func), ", ".join(args), expected, kind))
 
     for fn in (n for n in ast.walk(tree) if isinstance(n, FUNCTIONS) and n.name.startswith("test")):
         for n in ast.walk(fn):
             if isinstance(n, ast.Assert):
                 t = n.test
                 if isinstance(t, ast.Compare) and len(t.ops) == 1 and isinstance(t.ops[0], (ast.Eq, ast.Is)):
-                    add(fn.name, n, t.left, ast.unparse(t.comparators[0]), "assert")
+                    add(fn.name, n, t.left, _text(t.comparators[0]), "assert")
                 elif isinstance(t, ast.UnaryOp) and isinstance(t.op, ast.Not):
                     add(fn.name, n, t.operand, "False", "assert")
                 else:
                     add(fn.name, n, t, "True", "assert")
             elif isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and n.func.attr in ("assertEqual", "assertTrue", "assertFalse") and n.args:
                 if n.func.attr == "assertEqual" and len(n.args) > 1:
-                    add(fn.name, n, n.args[0], ast.unparse(n.args[1]), "unittest")
+                    add(fn.name, n, n.args[0], _text(n.args[1]), "unittest")
                 else:
                     add(fn.name, n, n.args[0], str(n.func.attr == "assertTrue"), "unittest")
     return out

@@ -108,3 +108,11 @@ def test_security_lines(spark):
     rows = [("a.py", code, "python"), ("b.js", "eval(x); exec (y)\nretrieval(x)\n", "javascript"), ("n", None, "go")]
     got = {(r.path, r.line, r.rule_id, r.name) for r in security_lines.security_findings(spark.createDataFrame(rows, "path string, content string, language string")).collect()}
     assert got == {("a.py", 2, "SEC02", ""), ("a.py", 5, "SEC02", ""), ("a.py", 10, "SEC04", "subprocess.run"), ("a.py", 12, "SEC04", "subprocess.Popen"), ("b.js", 1, "SEC05", "eval"), ("b.js", 1, "SEC05", "exec")}
+
+
+def test_deep_and_long_expressions(spark):
+    deep = "def f(a):\n    x = " + " + ".join(["a"] * 5000) + "\n    return x\n"
+    chain = "y = a" + ".b" * 900 + "\nassert " + " + ".join(["y"] * 1500) + "\n"
+    src = files(spark, ("a.py", deep), ("b.py", chain), ("c.py", "if a:\n" + "".join("    " * k + "if a:\n" for k in range(1, 90)) + "    " * 90 + "pass\n"))
+    assert {r.path for r in python_code.ast_nodes(src).collect()} == {"a.py", "b.py", "c.py"}
+    assert ("b.py", "ASSERT_IN_PRODUCTION") in {(r.path, r.issue_type) for r in python_code.fact_findings(python_code.facts(src)).collect()}
