@@ -2,7 +2,8 @@
 
 In a `first` group the first pattern that matches a line gives the one finding of that group on the line; in an `all`
 group every pattern does. `skip` is the expression of lines a family leaves out; `strip` families match the line
-without its inline comment.
+without its inline comment. A group named in `needs` is judged only in files that hold all of some words, or whose
+path has a part.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ class Family:
     skip: str = ""
     strip: bool = False
     only: str = ""
+    needs: tuple[tuple[str, tuple[str, ...], str], ...] = ()  # (group, words, part of a path)
 
 
 # The rules' patterns, severities and confidences.
@@ -97,8 +99,8 @@ SHELL = Family(
             ("SH_EVAL3", r"\beval\s+\$[A-Za-z_]", "HIGH", 0.85),
         )),
         ("destructive", "first", "SHELL_UNSAFE_COMMAND", (
-            ("SH_RM1", r"\brm\b(?:[^\n]*\s-\S*(?:r\S*f|f\S*r)|[^\n]*\s-\S*r[^\n]*\s-\S*f|[^\n]*\s-\S*f[^\n]*\s-\S*r)[^\n]*\s+/(?:\s|$|;|&&|\|\|)|\brm\b[^\n]*\s/(?:\s|;|&&|\|\|)(?:[^\n]*\s)?-\S*(?:r\S*f|f\S*r)", "CRITICAL", 0.98),
-            ("SH_RM2", r"\brm\b(?:[^\n]*\s-\S*(?:r\S*f|f\S*r)|[^\n]*\s-\S*r[^\n]*\s-\S*f|[^\n]*\s-\S*f[^\n]*\s-\S*r)[^\n]*\s+/\*", "CRITICAL", 0.95),
+            ("SH_RM1", r"\brm\b(?=[^\n]*\s-[^\s]*r)(?=[^\n]*\s-[^\s]*f)[^\n]*\s+/(?:\s|$|;|&&|\|\|)", "CRITICAL", 0.98),
+            ("SH_RM2", r"\brm\b(?=[^\n]*\s-[^\s]*r)(?=[^\n]*\s-[^\s]*f)[^\n]*\s+/\*", "CRITICAL", 0.95),
             ("SH_RM3", r"rm\s+-rf\s+\"\$\{?[^}]*:-/\}?\"", "HIGH", 0.90),
             ("SH_TRUNC", r":\s*>\s*/etc/passwd", "CRITICAL", 0.98),
             ("SH_MKFS", r"mkfs\s+/dev/sd[a-z]", "HIGH", 0.85),
@@ -106,8 +108,8 @@ SHELL = Family(
         )),
         ("unquoted", "first", "SHELL_UNQUOTED_VARIABLE", (
             ("SH_TEST", r"\[\s+-[a-z]\s+\$[A-Za-z_]", "MEDIUM", 0.65),
-            ("SH_RMVAR", r"\brm\s+(?:-\w+\s+)*\$[A-Za-z_]", "MEDIUM", 0.65),
-            ("SH_CDVAR", r"\bcd\s+\$[A-Za-z_]\w*(?:\s|$)", "MEDIUM", 0.65),
+            ("SH_RMVAR", r"rm\s+.*\$[A-Za-z_][A-Za-z0-9_]*[^\"'\s]", "MEDIUM", 0.65),
+            ("SH_CDVAR", r"cd\s+\$[A-Za-z_][A-Za-z0-9_]*\s", "MEDIUM", 0.65),
         )),
     ),
     skip=r"^\s*#",
@@ -119,7 +121,7 @@ DOCKERFILE = Family(
     (
         ("base_image", "first", "DOCKERFILE_LATEST_TAG", (
             ("DOCKER002", r"(?i)^\s*FROM\s+[^\s$]+:latest\b", "HIGH", 0.95),
-            ("DOCKER003", r"(?i)^\s*FROM\s+(?:[^\s$:@/]+/)*[^\s$:@/]+(?:\s|$)", "MEDIUM", 0.85),
+            ("DOCKER003", r"(?i)^\s*FROM\s+(?!scratch(?:\s|$))(?:[^\s$:@/]+/)*[^\s$:@/]+(?:\s|$)", "MEDIUM", 0.85),
         )),
         ("remote_execution", "first", "DOCKERFILE_UNSAFE_COMMAND", (
             ("DOCKER010", r"(?i)^\s*RUN\s+.*\b(curl|wget)\b[^\n]*\|\s*(sh|bash)\b", "CRITICAL", 0.97),
@@ -173,6 +175,7 @@ YAML = Family(
     ),
     skip=r"^\s*#|\$\{|\{\{|\$\(",
     strip=True,
+    needs=(("workflow", ("on:", "jobs:"), ".github/workflows"), ("cluster", ("apiVersion:", "kind:"), "")),
 )
 MAKEFILE = Family(
     "makefile",
@@ -223,7 +226,7 @@ SECRETS = Family(
 )
 FAMILIES = {f.name: f for f in (SQL, TERRAFORM, SHELL, DOCKERFILE, YAML, MAKEFILE, SECRETS)}
 
-# Content rules: matched over the whole text, every match a finding.
+# Content rules, matched over the whole text, every match a finding.
 POWERSHELL = (
     ("PS001", r"(?i)\bInvoke-Expression\b", "CRITICAL", 0.95),
     ("PS001", r"(?i)\biex\b", "CRITICAL", 0.92),
@@ -259,3 +262,10 @@ GROOVY = (
     ("GJ005", r"(?i)\bEval\s*\.\s*me\s*\(", "CRITICAL", 0.93),
 )
 CONTENT = {"powershell": POWERSHELL, "groovy": GROOVY}
+
+# DuckDB has no look-around; these are conditions on a line `t` that say the same as the expressions of those rules.
+SQL_CONDITIONS = {
+    "SH_RM1": r"(regexp_matches(t, '\brm\b[^\n]*\s-[^\s]*r') AND regexp_matches(t, '\brm\b[^\n]*\s-[^\s]*f') AND regexp_matches(t, '\brm\b[^\n]*\s+/(?:\s|$|;|&&|\|\|)'))",
+    "SH_RM2": r"(regexp_matches(t, '\brm\b[^\n]*\s-[^\s]*r') AND regexp_matches(t, '\brm\b[^\n]*\s-[^\s]*f') AND regexp_matches(t, '\brm\b[^\n]*\s+/\*'))",
+    "DOCKER003": r"(regexp_matches(t, '(?i)^\s*FROM\s+(?:[^\s$:@/]+/)*[^\s$:@/]+(?:\s|$)') AND NOT regexp_matches(t, '(?i)^\s*FROM\s+scratch(?:\s|$)'))",
+}

@@ -45,17 +45,13 @@ def language_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of all line families on all snippets."""
-    rows = snippets(spark, sf_dir)
-    out = None
-    for name in FAMILIES:
-        f = rules.line_findings(rows, name)
-        out = f if out is None else out.unionByName(f)
-    return out
+    """Findings of all line families: snippets by every family, source files by those of their language, in one pass each."""
+    of_files = rules.findings_of(sources(spark, sf_dir), list(FAMILIES))
+    return rules.findings_of(snippets(spark, sf_dir), list(FAMILIES)).unionByName(of_files)
 
 
 def findings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of findings on snippets by severity."""
+    """Counts of findings on snippets and files by severity."""
     return findings.summary(all_findings(spark, sf_dir))
 
 
@@ -73,25 +69,16 @@ def gate_high(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _family(name: str, of_files: bool):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = sources(spark, sf_dir, FAMILIES[name].languages[0]) if of_files else snippets(spark, sf_dir)
+        rows = sources(spark, sf_dir, *FAMILIES[name].languages) if of_files else snippets(spark, sf_dir)
         return rules.line_findings(rows, name)
 
     return query
 
 
-def _all_languages(name: str):
-    """The family over the files of every language it names; its older file query and that one's SQL read the first language only."""
-
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rules.line_findings(sources(spark, sf_dir, *FAMILIES[name].languages), name)
-
-    return query
-
-
 def content_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PowerShell and Groovy rules over whole snippets."""
-    rows = snippets(spark, sf_dir)
-    return rules.content_findings(rows, "powershell").unionByName(rules.content_findings(rows, "groovy"))
+    """PowerShell and Groovy rules over whole snippets and files of these languages."""
+    found = [rules.content_findings(snippets(spark, sf_dir).unionByName(sources(spark, sf_dir, name)), name) for name in ("powershell", "groovy")]
+    return found[0].unionByName(found[1])
 
 
 def sql_statement_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,13 +207,16 @@ def yaml_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_rules.yaml_errors(sources(spark, sf_dir, "yaml"))
 
 
+def _files_of(name: str) -> str:
+    kinds = ", ".join(f"'{k}'" for k in FAMILIES[name].languages)
+    return f"SELECT path, content FROM ({_FILES_SQL}) WHERE language IN ({kinds})"
+
+
 def _all_sql() -> str:
-    parts = []
-    for name in FAMILIES:
-        parts.append(f"SELECT * FROM ({rules.line_findings_sql(name, SNIPPETS_SQL)})")
-    return " UNION ALL ".join(parts)
+    return " UNION ALL ".join(f"SELECT * FROM ({rules.line_findings_sql(name, files)})" for name in FAMILIES for files in (SNIPPETS_SQL, _files_of(name)))
 
 
+_FILES_SQL = f"SELECT file_id || ':' || file_path AS path, content, {_language_sql()} AS language FROM source_files"
 QUERIES = {
     "file_languages": file_languages,
     "language_totals": language_totals,
@@ -235,8 +225,8 @@ QUERIES = {
     "findings_cube": findings_cube,
     "gate_high": gate_high,
     **{f"rules_{n}_snippets": _family(n, False) for n in FAMILIES},
-    **{f"rules_{n}_files": _family(n, True) for n in FAMILIES if n not in ("makefile",)},
-    **{f"rules_{n}_all_files": _all_languages(n) for n, f in FAMILIES.items() if len(f.languages) > 1},
+    **{f"rules_{n}_files": _family(n, True) for n in FAMILIES},
+    "rules_secrets_all_files": _family("secrets", True),
     "content_rules": content_rules,
     "sql_statement_rules": sql_statement_rules,
     "pii_masked": pii_masked,
@@ -259,7 +249,6 @@ QUERIES = {
     "yaml_errors": yaml_errors,
 }
 
-_FILES_SQL = f"SELECT file_id || ':' || file_path AS path, content, {_language_sql()} AS language FROM source_files"
 _LOC_SQL = "CAST(len(list_filter(string_split(content, chr(10)), lambda x: regexp_matches(x, '^\\s*[^\\s#]'))) AS INTEGER)"
 _EXCLUDED_SQL = " OR ".join(f"contains(file_path, '{p}')" for p in [".venv/", "venv/", ".tox/", "node_modules/", ".git/", "__pycache__/", "dist/", "build/", ".mypy_cache/", ".pytest_cache/", ".eggs/", ".egg-info/"])
 SQL = {
@@ -271,7 +260,8 @@ SQL = {
     "findings_cube": f"SELECT coalesce(issue_type, '*') AS issue_type, coalesce(severity, '*') AS severity, count(*) AS n FROM ({_all_sql()}) GROUP BY CUBE (issue_type, severity)",
     "gate_high": f"SELECT count(*) > 0 AS blocked, CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS exit_code FROM ({_all_sql()}) WHERE issue_type <> 'SQL_INJECTION_RISK' AND severity IN ('HIGH', 'CRITICAL')",
     **{f"rules_{n}_snippets": rules.line_findings_sql(n, SNIPPETS_SQL) for n in FAMILIES},
-    **{f"rules_{n}_files": rules.line_findings_sql(n, f"SELECT path, content FROM ({_FILES_SQL}) WHERE language = '{FAMILIES[n].languages[0]}'") for n in FAMILIES if n not in ("makefile",)},
+    **{f"rules_{n}_files": rules.line_findings_sql(n, _files_of(n)) for n in FAMILIES},
+    "rules_secrets_all_files": rules.line_findings_sql("secrets", _files_of("secrets")),
     "pii_masked": _masked_sql(),
     "pii_residual": " UNION ALL ".join(f"SELECT '{n}' AS pattern, count(*) AS n FROM cloud_findings WHERE regexp_matches(evidence, '{p.replace(chr(39), chr(39) * 2)}') HAVING count(*) > 0" for n, p in masking.PATTERNS.items()),
     "safety_flags": f"""SELECT path, 1 AS line, 'SHELL_MISSING_SAFETY' AS issue_type, 'MEDIUM' AS severity FROM (SELECT path, string_split(content, chr(10)) AS p FROM ({_FILES_SQL}) WHERE language = 'shell')
