@@ -11,22 +11,42 @@ from lintlake.operators.drift import latest
 REPO = r"^[a-zA-Z0-9_.-]+/[a-zA-Z0-9_.-]+$"
 SHA = r"^[0-9a-fA-F]{7,}$"
 WINDOWS = ["1h", "24h"]
+MOMENT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
+MOMENT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
 RED = {"error_rate": 0.05, "oom_kill_count": 0, "restart_count": 3}
 YELLOW = {"error_rate": 0.01, "latency_p99_delta": 200.0, "memory_rss_slope": 10.0}
 
 
 def violations(rows: DataFrame, strict: bool = False) -> DataFrame:
-    """(agg_id, violation): every breach of the contract by a row."""
+    """(agg_id, violation): every breach of the contract by a row; columns read as text are checked for their format as well."""
     e = lambda test, text: F.when(test, F.lit(text))
     checks = [e(F.col(c).isNull(), f"missing {c}") for c in ("repo", "commit_sha", "obs_window", "ts", "restart_count", "oom_kill_count", "error_rate")]
     checks += [
         e(~F.col("repo").rlike(REPO), "repo format"),
         e(~F.col("commit_sha").rlike(SHA), "commit_sha format"),
         e(~F.col("obs_window").isin(WINDOWS), "obs_window value"),
-        e(F.col("restart_count") < 0, "restart_count negative"),
-        e(F.col("oom_kill_count") < 0, "oom_kill_count negative"),
-        e((F.col("error_rate") < 0) | (F.col("error_rate") > 1), "error_rate range"),
+        e(F.col("restart_count").try_cast("double") < 0, "restart_count negative"),
+        e(F.col("oom_kill_count").try_cast("double") < 0, "oom_kill_count negative"),
+        e((F.col("error_rate").try_cast("double") < 0) | (F.col("error_rate").try_cast("double") > 1), "error_rate range"),
     ]
+    kinds = dict(rows.dtypes)
+    if kinds["ts"] == "string":
+        checks.append(e(~F.col("ts").rlike(MOMENT), "ts format"))
+    for c in ("restart_count", "oom_kill_count"):
+        if kinds[c] in ("string", "double", "float"):
+            checks.append(e(F.col(c).isNotNull() & ~F.col(c).cast("string").rlike(r"^-?\d+(?:\.0)?$"), f"{c} not an integer"))
+    for c in ("error_rate", "latency_p95_delta", "latency_p99_delta", "memory_rss_slope"):
+        if kinds.get(c) == "string":
+            checks.append(e(F.col(c).isNotNull() & F.col(c).try_cast("double").isNull(), f"{c} not numeric"))
+    kinds = dict(rows.dtypes)
+    if kinds["ts"] == "string":
+        checks.append(e(~F.col("ts").rlike(MOMENT), "ts format"))
+    for c in ("restart_count", "oom_kill_count"):
+        if kinds[c] in ("string", "double", "float"):
+            checks.append(e(F.col(c).isNotNull() & ~F.col(c).cast("string").rlike(r"^-?\d+(?:\.0)?$"), f"{c} not an integer"))
+    for c in ("error_rate", "latency_p95_delta", "latency_p99_delta", "memory_rss_slope"):
+        if kinds.get(c) == "string":
+            checks.append(e(F.col(c).isNotNull() & F.col(c).try_cast("double").isNull(), f"{c} not numeric"))
     if strict:
         checks += [e(F.col(c).isNull(), f"(strict) missing {c}") for c in ("latency_p95_delta", "latency_p99_delta", "memory_rss_slope")]
     return rows.select("agg_id", F.explode(F.array_compact(F.array(*checks))).alias("violation"))

@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintlake.session import spread
@@ -83,6 +83,69 @@ def key_values(files: DataFrame, kind: str) -> DataFrame:
     return spread(files.select("path", "content")).mapInPandas(look, KV)
 
 
+def unparsable(files: DataFrame, kind: str) -> DataFrame:
+    """(path, error) of documents that are not null and do not parse; nothing of a scan is lost without a row."""
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, text in zip(batch["path"], batch["content"]):
+                try:
+                    load(text, kind) if text else None
+                except (ValueError, RecursionError, TypeError) as e:
+                    rows.append((path, type(e).__name__))
+            yield pd.DataFrame(rows, columns=["path", "error"])
+
+    return spread(files.select("path", "content")).mapInPandas(look, "path string, error string")
+
+
+def fallback_findings(files: DataFrame, errors: DataFrame) -> DataFrame:
+    """(path, line, rule_id, severity, confidence): secrets by expression in JSON documents that do not parse."""
+    # The expression of a secret's key and value.
+    pair = r'(?i)"(?:password|api_?key|token|secret|credential)"\s*:\s*"([^"]+)"'
+    bad = files.join(errors.select("path").distinct(), "path", "left_semi").where(F.col("content").rlike(pair))
+    whole = F.regexp_extract_all("content", F.lit(f"({pair})".replace("(?i)", "", 1).replace('("', '((?i)"', 1)), F.lit(1))
+    between = F.transform(F.split("content", pair), lambda t: F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))))
+    rows = bad.select("path", F.monotonically_increasing_id().alias("_file"), F.posexplode(F.arrays_zip(between.alias("b"), whole.alias("m"))).alias("nth", "x")).select("path", "_file", "nth", F.col("x.b").alias("before"), F.col("x.m").alias("m")).where("m is not null")
+    own = F.length("m") - F.length(F.replace("m", F.lit("\n"), F.lit("")))
+    upto = Window.partitionBy("_file").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumn("own", own).withColumn("line", (F.sum(F.col("before") + F.col("own")).over(upto) - F.col("own") + 1).cast("int"))
+    literal = ~F.regexp_extract("m", pair, 1).rlike(r"^[$<]")
+    return placed.where(literal).select("path", "line", F.lit("J001").alias("rule_id"), F.lit("CRITICAL").alias("severity"), F.lit(0.7).alias("confidence"))
+
+
+def unparsable(files: DataFrame, kind: str) -> DataFrame:
+    """(path, error) of documents that are not null and do not parse; nothing of a scan is lost without a row."""
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, text in zip(batch["path"], batch["content"]):
+                try:
+                    load(text, kind) if text else None
+                except (ValueError, RecursionError, TypeError) as e:
+                    rows.append((path, type(e).__name__))
+            yield pd.DataFrame(rows, columns=["path", "error"])
+
+    return spread(files.select("path", "content")).mapInPandas(look, "path string, error string")
+
+
+# The expression of a secret's key and value in a document that does not parse.
+FALLBACK = r'(?i)"(?:password|api_?key|token|secret|credential)"\s*:\s*"([^"]+)"'
+
+
+def fallback_findings(files: DataFrame, errors: DataFrame) -> DataFrame:
+    """(path, line, rule_id, severity, confidence): secrets by expression in documents that do not parse."""
+    breaks = lambda t: F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
+    bad = files.join(errors.select("path").distinct(), "path", "left_semi").where(F.col("content").rlike(FALLBACK))
+    found = F.arrays_zip(F.split("content", FALLBACK).alias("before"), F.regexp_extract_all("content", F.lit(FALLBACK), F.lit(0)).alias("m"))
+    rows = bad.select("path", F.monotonically_increasing_id().alias("_file"), F.posexplode(found).alias("nth", "x")).select("path", "_file", "nth", "x.before", "x.m").where("m is not null")
+    upto = Window.partitionBy("_file").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    line = F.sum(breaks(F.col("before")) + breaks(F.col("m"))).over(upto) - breaks(F.col("m")) + 1
+    literal = ~F.regexp_extract("m", FALLBACK, 1).rlike(r"^[$<]")
+    return rows.withColumn("line", line.cast("int")).where(literal).select("path", "line", F.lit("J001").alias("rule_id"), F.lit("CRITICAL").alias("severity"), F.lit(0.7).alias("confidence"))
+
+
 def _any(c: Column, words) -> Column:
     return F.lower(c).rlike("|".join(w.replace("-", r"\-").lower() for w in words))
 
@@ -163,8 +226,11 @@ def open_ingress(kv: DataFrame) -> DataFrame:
     sensitive = F.lit(False)
     for port in SENSITIVE_PORTS:
         sensitive = sensitive | ((a <= port) & (b >= port))
-    public = (F.col("c4") == "0.0.0.0/0") | (F.col("c6") == "::/0")
-    return rows.where(public & ((F.col("proto") == "-1") | sensitive)).select("path", "rule_path", F.lit("CRITICAL").alias("severity"))
+    from lintlake.operators.file_rules import public_network
+
+    # Only rules with a bad port or protocol are left for the test of their networks.
+    asked = rows.where((F.col("proto") == "-1") | sensitive).withColumns({"c4": F.coalesce("c4", F.lit("")), "c6": F.coalesce("c6", F.lit(""))})
+    return asked.where(public_network("c4") | public_network("c6")).select("path", "rule_path", F.lit("CRITICAL").alias("severity"))
 
 
 def template_edges(kv: DataFrame) -> DataFrame:

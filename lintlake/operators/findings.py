@@ -119,11 +119,15 @@ def comment_body(message: Column, suggestion: Column, severity: Column, key: Col
     return F.concat_ws("\n\n", F.concat(F.lit("**"), severity, F.lit("** "), message), suggestion, F.concat(F.lit("<!-- dedup:"), key, F.lit(" -->")))
 
 
-def text_report(findings: DataFrame, most: int = 1000) -> str:
-    """Findings by severity as text; `most` rows at most, a report is for reading."""
-    rows = findings.select("severity", "path", "line", "issue_type").orderBy(severity_ord(F.col("severity")).desc(), "path", "line").limit(most).collect()
+def _ordered(findings: DataFrame):
+    """All findings from the gravest, partition by partition, so that the driver holds one partition at a time."""
+    return findings.select("severity", "path", "line", "issue_type").orderBy(severity_ord(F.col("severity")).desc(), "path", "line").toLocalIterator()
+
+
+def text_report(findings: DataFrame) -> str:
+    """All findings by severity as text."""
     out, last = [], None
-    for r in rows:
+    for r in _ordered(findings):
         if r.severity != last:
             out.append(f"{r.severity}")
             last = r.severity
@@ -131,10 +135,64 @@ def text_report(findings: DataFrame, most: int = 1000) -> str:
     return "\n".join(out)
 
 
-def html_report(findings: DataFrame, most: int = 1000) -> str:
-    """Findings as an HTML table, escaped."""
+def html_report(findings: DataFrame) -> str:
+    """All findings as an HTML table, escaped."""
     from html import escape
 
-    rows = findings.select("severity", "path", "line", "issue_type").orderBy(severity_ord(F.col("severity")).desc(), "path", "line").limit(most).collect()
-    cells = "".join("<tr>" + "".join(f"<td>{escape(str(v))}</td>" for v in r) + "</tr>" for r in rows)
+    cells = "".join("<tr>" + "".join(f"<td>{escape(str(v))}</td>" for v in r) + "</tr>" for r in _ordered(findings))
     return f"<table><tr><th>severity</th><th>path</th><th>line</th><th>type</th></tr>{cells}</table>"
+
+
+def response(findings: DataFrame, blocked: DataFrame) -> DataFrame:
+    """One row per file as a server answers: its findings with five keys each, and whether the gate is closed."""
+    issues = F.array_sort(F.collect_list(F.struct("line", F.col("issue_type").alias("type"), "severity", "message", "suggestion")))
+    return findings.groupBy("path").agg(issues.alias("issues")).join(blocked.select(F.col("blocked").alias("gate_blocked")), F.lit(True))
+
+
+def combined_summary(*runs: DataFrame) -> DataFrame:
+    """One summary of the findings of several runs, whatever paths they were given; findings found twice count once."""
+    every = runs[0]
+    for run in runs[1:]:
+        every = every.unionByName(run)
+    return summary(every.dropDuplicates(["path", "line", "rule_id", "issue_type"]))
+
+
+def trend_row(findings: DataFrame, complexity: DataFrame) -> DataFrame:
+    """One row for a table of trends: counts by severity and the mean complexity of functions."""
+    mean = complexity.agg(F.avg("complexity").alias("avg_complexity"))
+    return summary(findings).join(mean, F.lit(True))
+
+
+def post_counters(findings: DataFrame, posted: DataFrame, known_paths: DataFrame) -> DataFrame:
+    """One row: what posting a review would do without doing it; skipped are findings posted before, failed are those of no file of the review."""
+    rows = with_dedup_key(findings).join(posted.select("dedup_key").where("dedup_key is not null").distinct().withColumn("before", F.lit(True)), "dedup_key", "left")
+    rows = rows.join(known_paths.select("path").distinct().withColumn("known", F.lit(True)), "path", "left")
+    skipped, known = F.coalesce("before", F.lit(False)), F.coalesce("known", F.lit(False))
+    return rows.agg(F.count_if(~skipped & known).alias("posted"), F.count_if(~skipped & ~known).alias("failed"), F.count_if(skipped).alias("skipped"))
+
+
+def response(findings: DataFrame, blocked: DataFrame) -> DataFrame:
+    """One row per file as a server answers: its findings with five keys each, and whether the gate is closed."""
+    issues = F.array_sort(F.collect_list(F.struct("line", F.col("issue_type").alias("type"), "severity", "message", "suggestion")))
+    return findings.groupBy("path").agg(issues.alias("issues")).join(blocked.select(F.col("blocked").alias("gate_blocked")), F.lit(True))
+
+
+def combined_summary(*runs: DataFrame) -> DataFrame:
+    """One summary of the findings of several runs, whatever paths they were given; findings found twice count once."""
+    every = runs[0]
+    for run in runs[1:]:
+        every = every.unionByName(run)
+    return summary(every.dropDuplicates(["path", "line", "rule_id", "issue_type"]))
+
+
+def trend_row(findings: DataFrame, complexity: DataFrame) -> DataFrame:
+    """One row for a table of trends: counts by severity and the mean complexity of functions."""
+    return summary(findings).join(complexity.agg(F.avg("complexity").alias("avg_complexity")), F.lit(True))
+
+
+def post_counters(findings: DataFrame, posted: DataFrame, known_paths: DataFrame) -> DataFrame:
+    """One row: what posting a review would do without doing it; skipped are findings posted before, failed are those of no file of the review."""
+    before = posted.select("dedup_key").where("dedup_key is not null").distinct().withColumn("before", F.lit(True))
+    rows = with_dedup_key(findings).join(before, "dedup_key", "left").join(known_paths.select("path").distinct().withColumn("known", F.lit(True)), "path", "left")
+    skipped, known = F.coalesce("before", F.lit(False)), F.coalesce("known", F.lit(False))
+    return rows.agg(F.count_if(~skipped & known).alias("posted"), F.count_if(~skipped & ~known).alias("failed"), F.count_if(skipped).alias("skipped"))

@@ -45,7 +45,7 @@ def masked(df: DataFrame, column: str, patterns: dict[str, str] = PATTERNS, plac
     last = F.col(f"_m{len(patterns)}")
     matched = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(n).alias("k"), c.alias("v")) for n, c in counts]), lambda x: x.v > 0))
     out = df.withColumn("patterns_matched", matched).withColumn("redaction_count", F.aggregate(F.map_values("patterns_matched"), F.lit(0), lambda a, b: a + b))
-    out = out.withColumn("original_hash", F.sha2(text, 256)).withColumn("masked_hash", F.sha2(last, 256)).withColumn("size_bytes", F.octet_length(last))
+    out = out.withColumn("original_hash", F.sha2(text, 256)).withColumn("masked_hash", F.sha2(last, 256)).withColumn("original_md5", F.md5(text)).withColumn("masked_md5", F.md5(last)).withColumn("size_bytes", F.octet_length(last))
     out = out.withColumn("truncated", F.col("size_bytes") > MAX_BYTES).withColumn("masked_text", F.when(F.col("truncated"), F.substring(last, 1, MAX_BYTES)).otherwise(last))
     return out.drop(*[f"_m{k}" for k in range(len(patterns) + 1)])
 
@@ -66,3 +66,16 @@ def context_window(content: Column, line: Column, around: int = WINDOW) -> Colum
 def masked_map(values: Column, placeholder: str = PLACEHOLDER) -> Column:
     """A map with the values of keys that look secret replaced."""
     return F.transform_values(values, lambda k, v: F.when(F.lower(k).rlike("|".join(KEY_PARTS)), F.lit(placeholder)).otherwise(v))
+
+
+def masked_leaves(kv: DataFrame, placeholder: str = PLACEHOLDER) -> DataFrame:
+    """Key paths (see `configs.key_values`) with the values below any key that looks secret replaced, at any depth."""
+    return kv.withColumn("value_str", F.when(F.lower("key_path").rlike("|".join(KEY_PARTS)) & F.col("value_str").isNotNull(), F.lit(placeholder)).otherwise(F.col("value_str")))
+
+
+def safe_context(df: DataFrame, content: str, line: str, around: int = WINDOW) -> DataFrame:
+    """The rows with `context`: the masked lines around a line, where they begin and end, and what was masked in them."""
+    cut = df.withColumn("_w", context_window(F.col(content), F.col(line), around)).withColumn("_t", F.col("_w.text"))
+    rows = masked(cut, "_t")
+    record = F.struct(F.col("masked_text").alias("text"), F.col("_w.start_line").alias("start_line"), F.col("_w.end_line").alias("end_line"), F.col("redaction_count").alias("redactions"), F.col("truncated").alias("truncated"))
+    return rows.withColumn("context", F.when(F.col("_w").isNotNull(), record)).select(*df.columns, "context")
