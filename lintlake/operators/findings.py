@@ -56,6 +56,12 @@ def unposted(findings: DataFrame, posted: DataFrame) -> DataFrame:
     return findings.join(posted.select("dedup_key").where("dedup_key is not null").distinct(), "dedup_key", "left_anti")
 
 
+def first_seen(findings: DataFrame, batch: str) -> DataFrame:
+    """Findings of every batch whose dedup key no earlier batch has; the first batch of a key is one row of a count made before the shuffle."""
+    first = findings.groupBy("dedup_key").agg(F.min(batch).alias(batch))
+    return findings.join(first, ["dedup_key", batch], "left_semi")
+
+
 def changed_lines(findings: DataFrame, diff_lines: DataFrame, strict: bool = False) -> DataFrame:
     """Findings of files in a diff, those on changed lines, or with `strict` all of them; in_hunk tells which is which."""
     touched = diff_lines.select("path", F.col("new_line").alias("line"), F.lit(True).alias("in_hunk")).distinct()

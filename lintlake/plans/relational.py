@@ -30,9 +30,9 @@ def drift_not_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolve_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first of three tables that knows an order's customer."""
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("logical_id"), F.col("o_custkey").alias("physical_id"))
-    return drift.resolve(orders.where("logical_id % 3 = 0"), orders.where("logical_id % 5 = 0").withColumn("physical_id", F.col("physical_id") + 1), orders.where("logical_id % 2 = 0"))
+    """The first of three strategies that knows an order's customer: by closed orders, by open ones, by all."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("logical_id"), F.col("o_custkey").alias("physical_id"), "o_orderstatus")
+    return drift.resolve(orders.where("o_orderstatus = 'F'"), orders.where("o_orderstatus = 'O'").withColumn("physical_id", F.col("physical_id") + 1), orders)
 
 
 def undeclared_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,8 +120,7 @@ SQL = {
     "rule_drift": f"""SELECT *, 'MISSING' AS drift, 'HIGH' AS severity FROM ({_rules_sql(0)} EXCEPT {_rules_sql(1)}) UNION ALL
       SELECT *, 'UNEXPECTED' AS drift, CASE WHEN cidr4 = '0.0.0.0/0' THEN 'CRITICAL' ELSE 'HIGH' END AS severity FROM ({_rules_sql(1)} EXCEPT {_rules_sql(0)})""",
     "drift_not_found": "SELECT l_suppkey AS physical_id, count(DISTINCT l_orderkey) AS n FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY 1",
-    "resolve_names": """SELECT o_orderkey AS logical_id, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey WHEN o_orderkey % 5 = 0 THEN o_custkey + 1 ELSE o_custkey END AS physical_id FROM orders
-      WHERE o_orderkey % 3 = 0 OR o_orderkey % 5 = 0 OR o_orderkey % 2 = 0""",
+    "resolve_names": "SELECT o_orderkey AS logical_id, CASE o_orderstatus WHEN 'O' THEN o_custkey + 1 ELSE o_custkey END AS physical_id FROM orders",
     "undeclared_suppliers": "SELECT DISTINCT l_suppkey AS name FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000 OR s_acctbal < 1000)",
     "contradictions": """WITH f AS (SELECT CAST(l_partkey AS VARCHAR) AS p, l_returnflag AS e, min(lpad(CAST(l_orderkey AS VARCHAR), 12, '0')) AS o FROM lineitem GROUP BY 1, 2),
       w AS (SELECT p, e, o, first_value(e) OVER c AS e1, first_value(o) OVER c AS o1 FROM f WINDOW c AS (PARTITION BY p ORDER BY e))

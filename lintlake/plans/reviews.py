@@ -34,17 +34,18 @@ def dedup_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Issues of the last batch whose key no earlier batch has."""
+    """Issues of every batch whose key no earlier batch has."""
     keyed = findings.with_dedup_key(issues(spark, sf_dir))
-    return findings.unposted(keyed.where("batch_id = 10"), keyed.where("batch_id < 10")).select("issue_id", "dedup_key")
+    return findings.first_seen(keyed, "batch_id").select("issue_id", "dedup_key")
 
 
 def _changed(rows: DataFrame) -> DataFrame:
-    return rows.where("line % 3 = 0").select("path", F.col("line").alias("new_line")).distinct()
+    """Lines that batches after the first report on, as the lines of a diff."""
+    return rows.where("batch_id > 1").select("path", F.col("line").alias("new_line")).distinct()
 
 
 def review_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Issues on changed lines, a third of the lines standing in for a diff."""
+    """Issues on changed lines, those that later batches report on standing in for a diff."""
     rows = issues(spark, sf_dir)
     return findings.changed_lines(rows, _changed(rows)).groupBy("issue_type").agg(F.count(F.lit(1)).alias("n"))
 
@@ -110,14 +111,14 @@ QUERIES = {
 }
 
 _ORD = "CASE upper(trim(severity)) WHEN 'LOW' THEN 0 WHEN 'MEDIUM' THEN 1 WHEN 'HIGH' THEN 2 WHEN 'CRITICAL' THEN 3 END"
-_CHANGED = "SELECT DISTINCT file_path, line FROM analysis_issues WHERE line % 3 = 0"
+_CHANGED = "SELECT DISTINCT file_path, line FROM analysis_issues WHERE batch_id > 1"
 SQL = {
     "issues_threshold": f"SELECT repo, issue_type, count(*) AS n, max({_ORD}) AS gravest FROM analysis_issues WHERE {_ORD} >= 2 GROUP BY 1, 2",
     "issues_by_engine": "SELECT engine, upper(trim(severity)) AS severity, count(*) AS n FROM analysis_issues GROUP BY 1, 2",
     "dedup_keys": f"SELECT issue_id, {KEY_SQL} AS dedup_key FROM analysis_issues",
-    "dedup_anti": f"WITH k AS (SELECT issue_id, batch_id, {KEY_SQL} AS dedup_key FROM analysis_issues) SELECT issue_id, dedup_key FROM k WHERE batch_id = 10 AND dedup_key NOT IN (SELECT dedup_key FROM k WHERE batch_id < 10)",
+    "dedup_anti": f"WITH k AS (SELECT issue_id, batch_id, {KEY_SQL} AS dedup_key FROM analysis_issues) SELECT issue_id, dedup_key FROM k QUALIFY batch_id = min(batch_id) OVER (PARTITION BY dedup_key)",
     "review_changed": f"SELECT issue_type, count(*) AS n FROM analysis_issues JOIN ({_CHANGED}) USING (file_path, line) GROUP BY 1",
-    "review_strict": f"""WITH c AS ({_CHANGED}) SELECT in_hunk, count(*) AS n FROM (SELECT (a.file_path, a.line) IN (SELECT (file_path, line) FROM c) AS in_hunk FROM analysis_issues a
+    "review_strict": f"""WITH c AS ({_CHANGED}) SELECT in_hunk, count(*) AS n FROM (SELECT EXISTS (SELECT 1 FROM c WHERE c.file_path = a.file_path AND c.line = a.line) AS in_hunk FROM analysis_issues a
       WHERE a.file_path IN (SELECT file_path FROM c)) GROUP BY 1""",
     "review_schema": f'SELECT file_path AS file, line, col AS "column", issue_type AS type, severity, {KEY_SQL} AS dedup_key, engine, rule_id FROM analysis_issues',
     "fold_project": """WITH a AS (SELECT concat_ws('/', repo, 'x', line % 50) AS path, count(*) AS n_issues FROM analysis_issues GROUP BY 1),
