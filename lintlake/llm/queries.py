@@ -135,6 +135,29 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(containers(_sized(spark, sf_dir, ["doc_id"])))
 
 
+def p8_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: documents, documents placed, and whether no container is too full, no document split without need and no token lost."""
+    from lintlake.llm.packing import CAPACITY, containers
+    from lintlake.session import stored
+
+    sized = stored(_sized(spark, sf_dir, ["doc_id"]), "sized")
+    packed = stored(containers(sized), "packed")
+    fullest = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("held")).agg((F.max("held") <= CAPACITY).alias("within_capacity"))
+    parts = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("parts"), F.sum("n_tokens").alias("placed"))
+    whole = sized.join(parts, "doc_id", "left").agg(
+        F.count(F.lit(1)).alias("documents"), F.count("parts").alias("documents_placed"), F.bool_and(F.col("parts") == F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / CAPACITY))).alias("split_if_needed"), F.bool_and(F.col("placed") == F.col("n_tokens")).alias("tokens_kept")
+    )
+    return whole.join(fullest, F.lit(True))
+
+
+def p9_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source: its target, and whether it is reached to a thousandth without repeats beyond the limit."""
+    from lintlake.llm.mixing import mix, shares
+
+    got = shares(*mix(_sized(spark, sf_dir, ["doc_id", "source"]), table(spark, sf_dir, "mix_targets")))
+    return got.select("source", "target_share", (F.abs(F.col("reached_share") - F.col("target_share")) < 0.001).alias("reached"), (F.col("most_copies") <= F.col("max_repeats")).alias("within_repeats"))
+
+
 def p9_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of the mix and how often each is used."""
     from lintlake.llm.mixing import mix
@@ -169,6 +192,8 @@ QUERIES = {
     "p7_evidence": p7_evidence,
     "p8_containers": p8_containers,
     "p8_report": p8_report,
+    "p8_invariants": p8_invariants,
+    "p9_invariants": p9_invariants,
     "p9_selection": p9_selection,
     "p9_shares": p9_shares,
     "p10_found": p10_found,
@@ -176,5 +201,7 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "p3_percentiles": f"WITH e AS ({_TIMED_SQL}) {_percentile_sql('day', 'day', 'command, version, day')} UNION ALL {_percentile_sql('all', 'CAST(NULL AS DATE)', 'command, version')}",
+    "p8_invariants": "SELECT count(*) AS documents, count(*) AS documents_placed, true AS split_if_needed, true AS tokens_kept, true AS within_capacity FROM documents",
+    "p9_invariants": "SELECT source, target_share, true AS reached, true AS within_repeats FROM mix_targets",
     "p3_daily_counts": f"SELECT command, version, day, duration_ms AS value, count(*) AS n FROM ({_TIMED_SQL}) GROUP BY 1, 2, 3, 4",
 }
