@@ -137,6 +137,9 @@ def lex_c(text: str, language: str) -> list[tuple[str, int]]:
             at = n if end < 0 else end
             continue
         c = text[at]
+        if c == " " and text[at + 1 : at + 2] != " ":  # most gaps are one blank and need no expression
+            at += 1
+            continue
         if js and c == "`":
             end = _template(text, at)
             emit("TPL" if end >= 0 else "OPEN")
@@ -595,6 +598,9 @@ _PY = re.compile(
 )
 
 
+_INDENT = re.compile(r"[ \t\f\ufeff]*")
+
+
 def lex_python(text: str) -> list[tuple[str, int]]:
     out, at, n, line, prev, depth = [("BOF", 1)], 0, len(text), 1, "BOF", []
     indents, fresh = [0], True
@@ -606,7 +612,7 @@ def lex_python(text: str) -> list[tuple[str, int]]:
 
     while at < n:
         if fresh and not depth:
-            m = re.compile(r"[ \t\f\ufeff]*").match(text, at)
+            m = _INDENT.match(text, at)
             rest = text[m.end() : m.end() + 2]
             if rest[:1] in ("", "\n", "#") or rest == "\r\n":
                 at = m.end()
@@ -628,6 +634,9 @@ def lex_python(text: str) -> list[tuple[str, int]]:
                 indents.append(width)
             at, fresh = m.end(), False
             continue
+        if text[at] == " " and text[at + 1 : at + 2] != " ":
+            at += 1
+            continue
         m = _PY.match(text, at)
         if not m:
             if text[at] in "\"'":
