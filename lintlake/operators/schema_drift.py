@@ -49,6 +49,7 @@ SQL_TYPES = {"string": "string", "number": "double", "boolean": "boolean"}
 KEYS = ("event_key", "issue_key")
 PRESENT = 0.1
 SAME_VALUES = 0.6
+BROADCAST_ROWS = 100_000
 
 
 def _flatten(value: dict, prefix: str, out: list) -> None:
@@ -146,7 +147,7 @@ def _fields(table: DataFrame, target: dict[str, str]) -> DataFrame:
              case when left(e.value, 1) = '"' then concat('[', e.value, ']')
                   else coalesce(cast(try_cast(e.value as decimal(38,6)) as string), e.value) end as value))"""
     )
-    own = [c for c in ("stream", "seq", "record_key") if c in table.columns]
+    own = [c for c in ("stream", "file_name", "record_key") if c in table.columns]
     return table.select(*own, F.explode(F.concat(F.array_compact(F.array(*typed)), F.coalesce(rest, F.array()))).alias("f")).select(*own, "f.*")
 
 
@@ -160,18 +161,18 @@ def changes(lines: DataFrame, target: dict[str, str] = TARGET) -> DataFrame:
     """(stream, file_name, change_kind, field_name, new_name) of every file against the one before it in its stream."""
     lines = lines.withColumns({"stream": F.coalesce("stream", F.lit("")), "file_name": F.coalesce("file_name", F.lit(""))})
     order = file_order(lines.select("stream", "file_name", "exported_at"))
+    order = stored(order.select("stream", "file_name", "seq"), "order")
     table = ingest(lines.select("stream", "file_name", "body"), target).where("corrupt is null")
-    table = table.join(order.select("stream", "file_name", "seq"), ["stream", "file_name"])
-    record = stored(table.withColumn("record_key", F.coalesce(*KEYS)).drop("file_name", "corrupt"), "records")
+    record = stored(table.withColumn("record_key", F.coalesce(*KEYS)).drop("corrupt"), "records")
     counts = (
         _fields(record, target)
-        .groupBy("stream", "seq", "path", "kind")
+        .groupBy("stream", "file_name", "path", "kind")
         .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("stream", "seq", "path")
+        .groupBy("stream", "file_name", "path")
         .agg(F.sum("n").alias("n"), F.max_by("kind", F.struct("n", F.translate("kind", "abnos", "zyxwv"))).alias("kind"))
     )
-    records = record.groupBy("stream", "seq").agg(F.count(F.lit(1)).alias("records"))
-    held = counts.join(records, ["stream", "seq"]).where(F.col("n") >= PRESENT * F.col("records")).select("stream", "seq", "path", "kind")
+    records = record.groupBy("stream", "file_name").agg(F.count(F.lit(1)).alias("records"))
+    held = counts.join(records, ["stream", "file_name"]).where(F.col("n") >= PRESENT * F.col("records")).join(order, ["stream", "file_name"]).select("stream", "seq", "path", "kind")
     pairs = order.where("seq > 1").select("stream", "seq", "file_name")
     old = held.select("stream", (F.col("seq") + 1).alias("seq"), "path", F.col("kind").alias("old_kind"))
     diff = (
@@ -183,7 +184,7 @@ def changes(lines: DataFrame, target: dict[str, str] = TARGET) -> DataFrame:
         )
     )
     diff = materialise(diff)
-    renamed = _renames(record, diff, target)
+    renamed = _renames(record, diff, order, target)
     gone = renamed.select("stream", "seq", F.col("old").alias("path"), F.lit("removed").alias("change_kind")).unionByName(
         renamed.select("stream", "seq", F.col("new").alias("path"), F.lit("added").alias("change_kind"))
     )
@@ -196,16 +197,24 @@ def changes(lines: DataFrame, target: dict[str, str] = TARGET) -> DataFrame:
     return plain.unionByName(named)
 
 
-def _renames(record: DataFrame, diff: DataFrame, target: dict[str, str]) -> DataFrame:
-    """(stream, seq, old, new): of removed and added fields, those that hold the same values in shared records."""
+def _renames(record: DataFrame, diff: DataFrame, order: DataFrame, target: dict[str, str]) -> DataFrame:
+    """(stream, seq, old, new): of removed and added fields, those that hold the same values in shared records.
+
+    The fields in play are few beside the records, which are never shuffled whole: they are filtered where they lie, by
+    a table that is sent to all executors if it has at most `BROADCAST_ROWS` rows and shuffled beyond.
+    """
     both = diff.where("change_kind <> 'retyped'").groupBy("stream", "seq").agg(F.countDistinct("change_kind").alias("k")).where("k = 2").select("stream", "seq")
     moved = diff.join(both, ["stream", "seq"], "left_semi")
     wanted = moved.where("change_kind = 'removed'").select("stream", (F.col("seq") - 1).alias("seq"), "path", F.lit("old").alias("side"), F.col("seq").alias("pair"))
     wanted = wanted.unionByName(moved.where("change_kind = 'added'").select("stream", "seq", "path", F.lit("new").alias("side"), F.col("seq").alias("pair")))
-    in_play = record.where("record_key is not null").join(wanted.select("stream", "seq").distinct(), ["stream", "seq"], "left_semi")
+    wanted = stored(wanted.join(order, ["stream", "seq"]).drop("seq"), "wanted")
+    few = wanted.count() <= BROADCAST_ROWS
+    sent = F.broadcast(wanted) if few else wanted
+    files = wanted.select("stream", "file_name").distinct()
+    in_play = record.where("record_key is not null").join(F.broadcast(files) if few else files, ["stream", "file_name"], "left_semi")
     values = (
         _fields(in_play, target)
-        .join(wanted, ["stream", "seq", "path"])
+        .join(sent, ["stream", "file_name", "path"])
         .groupBy("stream", "pair", "record_key", "side", "path")
         .agg(F.min("value").alias("value"))
     )
