@@ -35,8 +35,8 @@ def _plain_children(node: ast.AST) -> list[ast.AST]:
     return [c for c in ast.iter_child_nodes(node) if not isinstance(c, (ast.expr_context, ast.operator, ast.cmpop, ast.boolop, ast.unaryop))]
 
 
-def tree_rows(path: str, text: str) -> list[tuple]:
-    """Nodes of one file in pre-order; the tree is walked with a stack, so its depth is no limit."""
+def tree_rows(path: str, text: str, kinds: tuple[str, ...] = ()) -> list[tuple]:
+    """Nodes of one file in pre-order, with `kinds` those alone; the tree is walked with a stack, so its depth is no limit."""
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
@@ -57,6 +57,8 @@ def tree_rows(path: str, text: str) -> list[tuple]:
         nested[parent] = max(nested[parent], nested[me] + own)
     last, rows = text.count("\n") + 1, []
     for me, (node, parent, depth) in enumerate(nodes):
+        if kinds and TYPES.get(type(node).__name__, "OTHER") not in kinds:
+            continue
         raw, fn, name = type(node).__name__, isinstance(node, FUNCTIONS), getattr(node, "name", None)
         a = node.args if fn else None
         rows.append((
@@ -202,6 +204,30 @@ def ast_nodes(files: DataFrame) -> DataFrame:
     return _table(files, tree_rows, NODES)
 
 
+def definitions(files: DataFrame) -> DataFrame:
+    """The nodes of functions and classes alone: what most rules need of a tree, without its other nodes leaving Python."""
+    kinds = ("FUNCTION", "ASYNC_FUNCTION", "CLASS")
+    return _table(files, lambda path, text: [r for r in tree_rows(path, text, kinds) if r[6] in kinds], NODES)
+
+
+BODIES = "path string, name string, line_start int, line_end int, text string"
+
+
+def function_bodies(files: DataFrame, least: int = 3) -> DataFrame:
+    """(path, name, line_start, line_end, text) of functions of at least `least` lines that are not blank."""
+
+    def rows_of(path: str, text: str) -> list[tuple]:
+        lines, out = text.split("\n"), []
+        for r in tree_rows(path, text, ("FUNCTION", "ASYNC_FUNCTION")):
+            if r[6] in ("FUNCTION", "ASYNC_FUNCTION") and r[10] - r[9] + 1 >= least:
+                body = "\n".join(lines[r[9] - 1 : r[10]])
+                if body.strip():
+                    out.append((path, r[8], r[9], r[10], body))
+        return out
+
+    return _table(files, rows_of, BODIES)
+
+
 def facts(files: DataFrame) -> DataFrame:
     """Facts of (path, content) that rules are made of."""
     return _table(files, fact_rows, FACTS)

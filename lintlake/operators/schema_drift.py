@@ -9,6 +9,8 @@ had again from its typed columns and `rescued`, and `changes` compares files on
 A file's fields are counted in one pass with map-side aggregation, so only (file, field, type) counts are shuffled.
 Renames are decided on the records that two files of a stream share, for removed and added fields only.
 
+Numbers from 1e15 up, which a double may not hold exactly, stay in `rescued` as they are written; `promote` casts them.
+
 Null body, non-JSON and cut-off lines: `corrupt`, in no count. Null stream or file name: its own stream or file. A
 file without any record has no fields. Ties of types go to the first in alphabetical order; files exported at the
 same time follow by name. Repeated records count again in shares, and once in renames.

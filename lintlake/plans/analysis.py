@@ -30,7 +30,7 @@ def shaped(rows: DataFrame) -> DataFrame:
 
 def _python(files: DataFrame) -> DataFrame:
     src = files.where("language = 'python'")
-    nodes = python_code.ast_nodes(src)
+    nodes = python_code.definitions(src)
     found = shaped(python_code.complexity_findings(nodes)).unionByName(shaped(python_code.smell_findings(nodes, params_too=True)))
     return found.unionByName(shaped(python_code.fact_findings(python_code.facts(src))))
 

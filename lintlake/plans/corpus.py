@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lintlake.functions.paths import with_canonical_path
 from lintlake.functions.text import lines_of_code
-from lintlake.operators import configs, file_rules, findings, masking, python_code, rules, security_lines, sql_statements
+from lintlake.operators import configs, file_rules, findings, masking, python_code, rules, security_lines, similarity, sql_statements
 from lintlake.operators.catalog_rules import FAMILIES
 from lintlake.session import stored, table
 from lintlake.sources.files import EXTENSIONS, detect_language, excluded
@@ -143,11 +143,17 @@ def python_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def python_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return python_code.complexity_findings(python_code.ast_nodes(sources(spark, sf_dir, "python")))
+    return python_code.complexity_findings(python_code.definitions(sources(spark, sf_dir, "python")))
 
 
 def python_smells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return python_code.smell_findings(python_code.ast_nodes(sources(spark, sf_dir, "python")), params_too=True)
+    return python_code.smell_findings(python_code.definitions(sources(spark, sf_dir, "python")), params_too=True)
+
+
+def similar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions of Python files with near duplicates among all functions, with the class of equal ones and the number of links."""
+    bodies = python_code.function_bodies(sources(spark, sf_dir, "python")).select(F.concat_ws(":", "path", "name", "line_start").alias("id"), "text")
+    return similarity.similar_texts(bodies).withColumn("similarity", F.round("similarity", 6))
 
 
 def python_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,6 +243,7 @@ QUERIES = {
     "python_complexity": python_complexity,
     "python_smells": python_smells,
     "python_facts": python_facts,
+    "similar_functions": similar_functions,
     "security_files": security_files,
     "python_imports": python_imports,
     "parser_quarantine": parser_quarantine,

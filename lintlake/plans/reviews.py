@@ -116,6 +116,8 @@ SQL = {
     "issues_threshold": f"SELECT repo, issue_type, count(*) AS n, max({_ORD}) AS gravest FROM analysis_issues WHERE {_ORD} >= 2 GROUP BY 1, 2",
     "issues_by_engine": "SELECT engine, upper(trim(severity)) AS severity, count(*) AS n FROM analysis_issues GROUP BY 1, 2",
     "dedup_keys": f"SELECT issue_id, {KEY_SQL} AS dedup_key FROM analysis_issues",
+    "args_sanitised": r"""SELECT issue_id, sha256(array_to_string(list_transform(regexp_split_to_array(message, '\s+'), lambda w: CASE WHEN regexp_matches(w, '[/\\]') THEN '<path>' WHEN regexp_matches(w, '@.*\.') THEN '<email>'
+      WHEN regexp_matches(w, '(?i)(token|secret|password|key|credential)') THEN '<secret>' ELSE w END), ' ')) AS digest FROM analysis_issues""",
     "dedup_anti": f"WITH k AS (SELECT issue_id, batch_id, {KEY_SQL} AS dedup_key FROM analysis_issues) SELECT issue_id, dedup_key FROM k QUALIFY batch_id = min(batch_id) OVER (PARTITION BY dedup_key)",
     "review_changed": f"SELECT issue_type, count(*) AS n FROM analysis_issues JOIN ({_CHANGED}) USING (file_path, line) GROUP BY 1",
     "review_strict": f"""WITH c AS ({_CHANGED}) SELECT in_hunk, count(*) AS n FROM (SELECT EXISTS (SELECT 1 FROM c WHERE c.file_path = a.file_path AND c.line = a.line) AS in_hunk FROM analysis_issues a

@@ -43,9 +43,9 @@ def latest_stream(rows: DataFrame) -> DataFrame:
 
 
 def analyse_new_files(files: DataFrame, family: str, sink: str, checkpoint: str):
-    """Findings of files as they arrive, appended as Parquet by micro-batch."""
+    """Findings of files as they arrive, as Parquet in a folder per micro-batch; one that is replayed writes its folder anew."""
 
     def write(batch: DataFrame, number: int) -> None:
-        line_findings(batch, family).withColumn("batch", F.lit(number)).write.mode("append").parquet(sink)
+        line_findings(batch, family).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
