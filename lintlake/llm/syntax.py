@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintlake.llm.syntax_languages import pairs
+from lintlake.llm.syntax_languages import pairs, yaml_tokens
 from lintlake.llm.syntax_lex import lex
 from lintlake.llm.syntax_statements import PYTHON_BLOCKS, legal, sql_statements, statements
 from lintlake.session import spread, stored
@@ -47,7 +47,7 @@ def language_of(path: str | None) -> str | None:
 
 def _codes() -> dict[str, int]:
     """A number for every token class of any grammar; what no grammar knows is 0."""
-    known = {t.lstrip("^") for language in LANGUAGES if language not in ("yaml", "dockerfile") for p in pairs(language) for t in p}
+    known = {t.lstrip("^") for language in LANGUAGES if language != "dockerfile" for p in pairs(language) for t in p}
     return {t: i + 1 for i, t in enumerate(sorted(known))}
 
 
@@ -67,7 +67,10 @@ def lexed(files: DataFrame) -> DataFrame:
                     continue
                 if language == "sql":
                     tokens, parts = sql_statements(text)
-                elif language in ("yaml", "dockerfile"):
+                elif language == "yaml":
+                    parts = statements(text, language, [])
+                    tokens = [(t, 0) for t in yaml_tokens(parts)]
+                elif language == "dockerfile":
                     tokens, parts = [], statements(text, language, [])
                 else:
                     tokens = lex(text, language)
@@ -84,7 +87,7 @@ def permissible(spark) -> DataFrame:
     """(language, pair): as many rows as the grammars have pairs, whatever the input."""
     codes = _codes()
     number = lambda t: codes[t[1:]] + BROKE if t[0] == "^" else codes[t]
-    rows = [(language, codes[a.lstrip("^")] * 2 * BROKE + number(b)) for language in LANGUAGES if language not in ("yaml", "dockerfile") for a, b in pairs(language)]
+    rows = [(language, codes[a.lstrip("^")] * 2 * BROKE + number(b)) for language in LANGUAGES if language != "dockerfile" for a, b in pairs(language)]
     return spark.createDataFrame(rows, "language string, pair int")
 
 
@@ -130,13 +133,8 @@ def _bad_statements(read: DataFrame) -> DataFrame:
         | (F.col("head") == "else") & (F.col("before").isNull() | ~F.col("before").isin("if", "elif", "for", "while", "except", "async"))
         | ~blocks & (F.col("shape") == "cut")
     )
-    y = yaml.withColumns({"prev_indent": F.lag("indent").over(order), "prev_shape": F.lag("shape").over(order), "prev_head": F.lag("head").over(order), "sibling": F.lag("head").over(level)})
-    odd = (
-        (F.col("indent") > F.col("prev_indent")) & (F.col("prev_shape") != "empty") & ~F.col("head").startswith("item")
-        | (F.col("indent") > F.col("prev_indent")) & (F.col("prev_shape") != "empty")
-        | (F.col("indent") < F.col("prev_indent")) & F.col("sibling").isNull()
-        | (F.col("indent") == F.col("prev_indent")) & (F.col("head") == "key") & F.col("prev_head").isin("item", "scalar")
-    )
+    y = yaml.withColumns({"prev_indent": F.lag("indent").over(order), "sibling": F.lag("head").over(level)})
+    odd = (F.col("indent") < F.col("prev_indent")) & F.col("sibling").isNull()
     return by_shape.unionByName(p.where(bad).select("file_id")).unionByName(y.where(odd).select("file_id"))
 
 

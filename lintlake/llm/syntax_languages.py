@@ -244,9 +244,34 @@ literal = STR | NUM
 CONTINUES = {"javascript": ("plain", "stmt"), "typescript": ("plain", "stmt")}
 
 
+# The tokens of YAML are its logical lines: how a line is indented beside the one before (S the same, I more, D less), how
+# it begins (key, item, item key, scalar, other), and whether it holds something (F) or leaves room for a block (E).
+YAML_STEPS = {"S": "same", "I": "more", "D": "less"}
+YAML_HEADS = {"K": "key", "N": "item", "M": "item key", "C": "scalar", "O": "other"}
+
+
+def yaml_tokens(rows: list[tuple[int, int, str, str]]) -> list[str]:
+    """The tokens of logical lines (seq, indent, head, shape)."""
+    heads, out, before = {v: k for k, v in YAML_HEADS.items()}, ["BOF"], None
+    for _, indent, head, shape in rows:
+        step = "S" if before is None or indent == before else "I" if indent > before else "D"
+        out.append(f"{step}{heads[head]}{'E' if shape == 'empty' else 'F'}")
+        before = indent
+    return out
+
+
+def _yaml_pairs() -> frozenset[tuple[str, str]]:
+    """A block may begin only behind a line that leaves room for it; a key doesn't follow an item or scalar of its own level."""
+    tokens = [f"{step}{head}{full}" for step in YAML_STEPS for head in YAML_HEADS for full in "EF"]
+    fits = lambda a, b: not (b[0] == "I" and a[2] == "F") and not (b[:2] == "SK" and a[1] in "NC")
+    return frozenset({("BOF", t) for t in tokens} | {(a, b) for a in tokens for b in tokens if fits(a, b)})
+
+
 @lru_cache(None)
 def pairs(language: str) -> frozenset[tuple[str, str]]:
     """Permissible pairs of a language; after a line break where a statement may end by itself the second has `^`."""
+    if language == "yaml":
+        return _yaml_pairs()
     text = {"javascript": JAVASCRIPT, "typescript": TYPESCRIPT, "java": JAVA, "go": GO, "python": PYTHON, "json": JSON, "toml": TOML, "terraform": HCL, "shell": BASH, "sql": SQL}[language]
     g = Grammar(text)
     out = set(g.pairs)
