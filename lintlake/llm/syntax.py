@@ -52,11 +52,19 @@ def _codes() -> dict[str, int]:
 
 
 BROKE = 1024
+KINDS = "rsc"
 
 
 def lexed(files: DataFrame) -> DataFrame:
-    """(file_id, language, tokens, statements) of files with a known language; a token is its class's number, plus BROKE after a line break that counts."""
+    """(file_id, language, pairs, brackets, statements) of files with a known language.
+
+    A token is its class's number, plus BROKE after a line break that counts; `pairs` are a file's distinct pairs of
+    adjacent tokens, `brackets` its brackets in order, each with its place, kind and direction in one number.
+    """
     codes = _codes()
+    numbers_of = codes | {f"^{t}": c + BROKE for t, c in codes.items()}
+    kinds = {t: KINDS.index(k) << 1 | (step > 0) for t, (k, step) in BRACKETS.items() if t in codes}
+    kinds |= {f"^{t}": k for t, k in kinds.items()}
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -75,11 +83,13 @@ def lexed(files: DataFrame) -> DataFrame:
                 else:
                     tokens = lex(text, language)
                     parts = statements(text, language, tokens)
-                numbers = [codes.get(t[1:], 0) + BROKE if t[0] == "^" else codes.get(t, 0) for t, _ in tokens]
-                rows.append((file_id, language, numbers, parts))
-            yield pd.DataFrame(rows, columns=["file_id", "language", "tokens", "statements"])
+                numbers = [numbers_of.get(t, BROKE if t[0] == "^" else 0) for t, _ in tokens]
+                met = [a % BROKE * (2 * BROKE) + b for a, b in set(zip(numbers, numbers[1:]))]
+                brackets = [place << 3 | kinds[t] for place, (t, _) in enumerate(tokens) if t in kinds]
+                rows.append((file_id, language, met, brackets, parts))
+            yield pd.DataFrame(rows, columns=["file_id", "language", "pairs", "brackets", "statements"])
 
-    schema = "file_id bigint, language string, tokens array<int>, statements array<struct<seq:int,indent:int,head:string,shape:string>>"
+    schema = "file_id bigint, language string, pairs array<int>, brackets array<bigint>, statements array<struct<seq:int,indent:int,head:string,shape:string>>"
     return spread(files.select("file_id", "file_path", "content")).mapInPandas(look, schema)
 
 
@@ -92,15 +102,14 @@ def permissible(spark) -> DataFrame:
 
 
 def _bad_pairs(read: DataFrame) -> DataFrame:
-    pair = F.zip_with(F.slice("tokens", 1, F.size("tokens") - 1), F.slice("tokens", 2, F.size("tokens")), lambda a, b: (a % BROKE) * (2 * BROKE) + b)
-    rows = read.where(F.size("tokens") > 1).select("file_id", "language", F.explode(F.array_distinct(pair)).alias("pair"))
+    rows = read.select("file_id", "language", F.explode("pairs").alias("pair"))
     return rows.join(F.broadcast(permissible(read.sparkSession)), ["language", "pair"], "left_anti").select("file_id")
 
 
 def _bad_nesting(read: DataFrame) -> DataFrame:
-    codes = _codes()
-    kinds = F.create_map(*[x for t, (k, s) in BRACKETS.items() if t in codes for x in (F.lit(codes[t]), F.struct(F.lit(k).alias("kind"), F.lit(s).alias("step")))])
-    rows = read.select("file_id", F.posexplode("tokens").alias("pos", "token")).select("file_id", "pos", kinds[F.col("token") % BROKE].alias("b")).where("b is not null").select("file_id", "pos", "b.*")
+    b = F.col("b")
+    rows = read.select("file_id", F.explode("brackets").alias("b"))
+    rows = rows.select("file_id", F.shiftright(b, 3).alias("pos"), F.shiftright(b, 1).bitwiseAND(F.lit(3)).alias("kind"), (b.bitwiseAND(F.lit(1)) * 2 - 1).alias("step"))
     order = Window.partitionBy("file_id").orderBy("pos")
     rows = rows.withColumn("after", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("level", F.when(F.col("step") == 1, F.col("after")).otherwise(F.col("after") + 1))
