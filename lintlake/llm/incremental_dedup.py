@@ -18,8 +18,9 @@ The index lives in its folder: `PivotIndex(spark, path)` opens what is there, al
 Rows that say exactly the same are aggregated before any shuffle by key, so a group of copies of any size is one
 entry; entries of one key are bounded by the lines of a file times its rules.
 
-Null repo, file, issue type, message name or line: the row is accepted and nothing repeats it. A null rule fits
-any rule. Among several accepted rows that fit, the earliest is named. A null batch_id is batch 0. An empty table gives
+Every row is a point. A null or blank repo, file or issue type, a message that names nothing and a null line are the
+same as another such and differ from all others: findings without a line are 0 apart and far from those with one. A null
+rule fits any rule. Among several accepted rows that fit, the earliest is named. A null batch_id is batch 0. An empty table gives
 an empty result. A batch that is added again under its label is written anew.
 """
 
@@ -32,7 +33,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.functions.paths import with_canonical_path
+from lintlake.functions.paths import BLANKS, with_canonical_path
 from lintlake.session import scratch_path
 
 RADIUS = 3
@@ -47,34 +48,52 @@ ENTRY = "k1 bigint, k2 bigint, first_id bigint, dist int, rule string, a bigint,
 
 def canonical_rule(rule: Column) -> Column:
     """`sec/SEC-003`, ` SEC_3 ` and `rule:sec003` are all SEC3; a blank rule is missing."""
-    r = F.upper(F.regexp_replace(F.regexp_replace(rule, r"^\s*[A-Za-z]+[:/]", ""), r"[\s_\-]", ""))
+    r = F.upper(F.regexp_replace(F.regexp_replace(rule, r"^[\s\p{Z}]*(?:[A-Za-z]+[:/])+", ""), r"[\s\p{Z}_\p{Pd}]", ""))
     return F.nullif(F.regexp_replace(r, r"^([A-Z]+)0+(?=\d)", "$1"), F.lit(""))
 
 
-def named_symbol(message: Column) -> Column:
-    """The first quoted identifier of a message, in lower case."""
-    name = F.regexp_extract(message, r"""['"`’‘“”«]([\w$.]+)['"`’‘“”»]""", 1)
-    return F.nullif(F.lower(name), F.lit(""))
+#: letters, digits and marks of any script, as names are made of
+LETTER, WORD = r"\p{L}_$", r"\p{L}\p{N}\p{M}_$"
+#: a name in quotes, with its arguments or without; it holds a letter
+QUOTED = rf"""['"`’‘“”«‹„‚]([\p{{N}}\p{{M}}.@#:~-]*[{LETTER}][{WORD}.@#:~?!>-]*)(?:\([^()]*\))?['"`’‘“”»›]"""
+#: a name called, which plurals as in `file(s)` are not
+CALLED = rf"([{LETTER}][{WORD}.]*)\((?!(?:s|es|ies)\))"
+#: a word spelled as only code spells it (a_b, aB, $a) that is no part of a path
+SPELLED = rf"(?<![{WORD}./\\:@-])((?=\$|_+\p{{L}}|[\p{{L}}\p{{N}}\p{{M}}]+_|\p{{Ll}}[\p{{Ll}}\p{{N}}\p{{M}}]*\p{{Lu}})[{LETTER}][{WORD}]*)(?![{WORD}/\\:@-]|\.[{WORD}])"
+
+
+def canonical_type(issue_type: Column) -> Column:
+    """The letters and digits of an issue type, in upper case; a blank one is missing."""
+    return F.nullif(F.upper(F.regexp_replace(issue_type, r"[^\p{L}\p{N}]+", "")), F.lit(""))
+
+
+def named_symbol(message: Column, issue_type: Column) -> Column:
+    """The function or variable a message names, in lower case: quoted, or else called, or else spelled as code and not the issue's type."""
+    first = lambda pattern: F.nullif(F.regexp_extract(message, pattern, 1), F.lit(""))
+    kind = F.coalesce(canonical_type(issue_type), F.lit(""))
+    spelled = F.get(F.filter(F.regexp_extract_all(message, F.lit(SPELLED), 1), lambda name: ~canonical_type(name).eqNullSafe(kind)), 0)
+    return F.lower(F.coalesce(first(QUOTED), first(CALLED), spelled))
 
 
 def fingerprints(issues: DataFrame) -> DataFrame:
-    """(issue_id, batch_id, k1, k2, dist, rule); the hashes are null where a part of the key or the line is missing."""
+    """(issue_id, batch_id, k1, k2, dist, rule) of every row; a missing part of the key is a value of its own, and so is a missing line."""
     rows = issues.select(
         F.col("issue_id").cast("bigint").alias("issue_id"),
         F.coalesce(F.col("batch_id"), F.lit(0)).cast("int").alias("batch_id"),
-        F.nullif(F.lower(F.trim("repo")), F.lit("")).alias("_repo"),
+        F.nullif(F.lower(F.trim("repo", F.lit(BLANKS))), F.lit("")).alias("_repo"),
         "file_path",
-        F.nullif(F.upper(F.regexp_replace("issue_type", r"[^A-Za-z0-9]+", "")), F.lit("")).alias("_type"),
-        named_symbol(F.col("message")).alias("_name"),
-        F.col("line").cast("int").alias("dist"),
+        canonical_type(F.col("issue_type")).alias("_type"),
+        named_symbol(F.col("message"), F.col("issue_type")).alias("_name"),
+        F.col("line").cast("int").alias("_line"),
         canonical_rule(F.col("rule_id")).alias("rule"),
     )
-    parts = ["_repo", "_path", "_type", "_name"]
-    rows = with_canonical_path(rows).withColumn("_key", F.concat(*[F.concat(F.col(p), F.lit("\u0001")) for p in parts]))
-    whole = F.col("_key").isNotNull() & F.col("dist").isNotNull()
+    # Keys of rows that miss nothing end with their name, as stored indexes have them.
+    parts = [F.concat(F.coalesce(p, F.lit("\u0002")), F.lit("\u0001")) for p in ("_repo", "_path", "_type", "_name")]
+    rows = with_canonical_path(rows).withColumn("_key", F.concat(*parts, F.when(F.col("_line").isNull(), "\u0002").otherwise("")))
     bits = lambda h, n: F.shiftrightunsigned(h, 64 - n)
     k1 = F.shiftleft(bits(F.xxhash64("_repo"), REPO_BITS), KEY_BITS) + bits(F.xxhash64("_key"), KEY_BITS)
-    return rows.select("issue_id", "batch_id", F.when(whole, k1).alias("k1"), F.when(whole, bits(F.xxhash64(F.lit("second"), "_key"), KEY_BITS)).alias("k2"), "dist", "rule")
+    k2 = bits(F.xxhash64(F.lit("second"), "_key"), KEY_BITS)
+    return rows.select("issue_id", "batch_id", k1.alias("k1"), k2.alias("k2"), F.coalesce("_line", F.lit(0)).alias("dist"), "rule")
 
 
 def with_pivot_distances(points: DataFrame) -> DataFrame:
@@ -147,14 +166,14 @@ class PivotIndex:
 
     def add_batch(self, rows: DataFrame, label: str) -> None:
         """Resolve one batch of fingerprints against the table and append its entries."""
-        entries = with_pivot_distances(rows.where("k1 is not null").groupBy("k1", "k2", "dist", "rule").agg(F.min("issue_id").alias("first_id")))
+        entries = with_pivot_distances(rows.groupBy("k1", "k2", "dist", "rule").agg(F.min("issue_id").alias("first_id")))
         keys = ["k1", "k2", "first_id", "dist", "rule"]
         if self._is_new():
             found = entries.select(*keys, F.lit(None).cast("bigint").alias("a")).repartition("k1", "k2")
         else:
             cells = F.array_distinct(F.array(F.floor((F.col("d1") - self.radius) / CELL), F.floor((F.col("d1") + self.radius) / CELL)))
             probes = entries.withColumn("cell", F.explode(cells)).alias("e")
-            held = self.history(rows.where("k1 is not null"), label).withColumn("cell", F.floor(F.col("d1") / CELL)).alias("h")
+            held = self.history(rows, label).withColumn("cell", F.floor(F.col("d1") / CELL)).alias("h")
             hits = probes.join(held, (F.col("e.cell") == F.col("h.cell")) & _near(self.radius), "left").select(*[F.col(f"e.{k}").alias(k) for k in keys], F.col("h.first_id").alias("a"))
             found = hits.repartition("k1", "k2").groupBy(*keys).agg(F.min("a").alias("a"))
         out = _in_order(found.sortWithinPartitions("k1", "k2", "first_id"), self.radius)
@@ -170,7 +189,7 @@ def repeats(issues: DataFrame, radius: int = RADIUS, index: str | None = None) -
     """
     spark = issues.sparkSession
     path = scratch_path(spark, "pivot")
-    fingerprints(issues).where("k1 is not null").write.parquet(f"{path}/rows", partitionBy="batch_id")
+    fingerprints(issues).write.parquet(f"{path}/rows", partitionBy="batch_id")
     batches = sorted(r[0] for r in issues.select(F.coalesce(F.col("batch_id"), F.lit(0)).cast("int").alias("b")).distinct().collect())
     rows = spark.read.schema("issue_id bigint, k1 bigint, k2 bigint, dist int, rule string, batch_id int").parquet(f"{path}/rows")
     table = PivotIndex(spark, index or f"{path}/index", radius)

@@ -163,3 +163,46 @@ def test_long_chains_of_lines_are_walked_once(spark):
     start = time.perf_counter()
     assert repeats(df).count() == 30_000 - 7500
     assert time.perf_counter() - start < 60
+
+
+def found(spark, *groups):
+    """Repeats in each group of findings (repo, file, line, type, rule, message), numbered from 1: the first comes in batch 1, the rest in batch 2."""
+    rows = [(100 * g + i, min(i, 2), *finding, "c") for g, group in enumerate(groups) for i, finding in enumerate(group, 1)]
+    pairs = [(r.issue_id_a, r.issue_id_b) for r in repeats(spark.createDataFrame(rows, ISSUE)).collect()]
+    assert all(a // 100 == b // 100 for a, b in pairs)
+    return [{(a % 100, b % 100) for a, b in pairs if a // 100 == g} for g in range(len(groups))]
+
+
+def test_findings_that_miss_a_part_are_repeated_by_such_findings(spark):
+    whole, groups = ("r", "a.py", 5, "T", "S1", "x 'f'"), []
+    for part, missing in [(0, (None, " ")), (1, (None, "")), (2, (None,)), (3, (None, "--")), (5, (None, "", "too long: 7"))]:
+        own = (*whole[:4], f"S{part}", whole[5])
+        groups.append([own, *[(*own[:part], m, *own[part + 1 :]) for m in missing] * 2])
+    assert found(spark, *groups) == [{(2, i) for i in range(3, len(group) + 1)} for group in groups]
+    lines = [("r", "a.py", n, "T", "S1", "line too long") for n in (5, 8, 9)]
+    no_line = [("q", "a.py", n, "T", None, None) for n in (None, 0, 2, None, None)]
+    assert found(spark, lines, no_line) == [{(1, 2)}, {(1, 4), (1, 5), (2, 3)}]
+
+
+def test_names_however_they_are_written(spark):
+    """A message, one that names another thing, and one that names the same as the first."""
+    messages = [
+        ("'größe' is long", "'grüße' is long", "found in «GRÖßE»"),
+        ("'3' hits in 'load'", "'3' hits in 'save'", "'5' hits in 'Load'"),
+        ("'load()' is long", "'save()' is long", 'long: "load(path, n)"'),
+        ("`Job::run` is long", "`Job::stop` is long", "long: 'job::RUN'"),
+        ("load_all is long", "save_all is long", "long: LOAD_ALL (7)"),
+        ("long function loadAll", "long function saveAll", "in src/to_do/my_file.py: loadAll"),
+        ("HARDCODED_SECRET in api_key", "HARDCODED_SECRET in db_pass", "hardcoded secret in API_KEY"),
+        ("load() is long", "save() is long", "long, 3 file(s): load(path)"),
+    ]
+    groups = [[(f"r{g}", "a.py", 5, "HARDCODED_SECRET", "S1", m) for m in group] for g, group in enumerate(messages)]
+    assert found(spark, *groups) == [{(1, 3)}] * len(messages)
+
+
+def test_paths_types_and_rules_however_they_are_written(spark):
+    written = ["src/a.py", "src/x/y/z/../../../a.py", "C:\\\\agent\\\\_work\\\\3\\\\s\\\\src\\\\a.py", "/home/runner//work/r/r/./src/a.py", "file:///home/runner/work/r/r/src/a.py", "file:///C:/agent/_work/3/s/src/a.py", "FILE:///workspace/r/src/a.py", "\tsrc/a.py\n"]
+    paths, out = [("p", p, 5, "T", "S1", "'f'") for p in written], [("o", p, 5, "T", "S1", "'f'") for p in ["../a.py", "a.py", "x/../../a.py", "b/../../../a.py"]]
+    types = [("t", "a.py", 5, t, "S1", "'f'") for t in ["Größe", "Grüße", "GRÖßE"]]
+    rules = [("u", "a.py", 5, "T", r, "'f'") for r in ["SEC-003", "rule:sec/SEC003", "SEC\u00a03", "SEC004"]]
+    assert found(spark, paths, out, types, rules) == [{(1, i) for i in range(2, len(written) + 1)}, {(1, 3)}, {(1, 3)}, {(1, 2), (1, 3)}]
